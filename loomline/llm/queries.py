@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import jaccard, substring
 
 
 def queries():
-    return {"op10_substring_dedup": substring.op10_substring_dedup}
+    return {"op6_jaccard_join": jaccard.op6_jaccard_join, "op10_substring_dedup": substring.op10_substring_dedup}
 
 
 def oracle_sql():
-    return {"op10_substring_dedup": substring.OP10_SQL}
+    return {"op6_jaccard_join": jaccard.OP6_SQL, "op10_substring_dedup": substring.OP10_SQL}
