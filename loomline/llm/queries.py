@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import jaccard, substring
+from . import chat, jaccard, substring, urls
 
 
 def queries():
-    return {"op6_jaccard_join": jaccard.op6_jaccard_join, "op10_substring_dedup": substring.op10_substring_dedup}
+    return {
+        "op4_chat_formatting": chat.op4_chat_formatting,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
+        "op7_url_filter": urls.op7_url_filter,
+        "op10_substring_dedup": substring.op10_substring_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op6_jaccard_join": jaccard.OP6_SQL, "op10_substring_dedup": substring.OP10_SQL}
+    return {
+        "op4_chat_formatting": chat.OP4_SQL,
+        "op6_jaccard_join": jaccard.OP6_SQL,
+        "op7_url_filter": urls.OP7_SQL,
+        "op10_substring_dedup": substring.OP10_SQL,
+    }
