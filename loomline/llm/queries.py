@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, substring, urls
+from . import chat, decontaminate, jaccard, substring, urls
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_url_filter": urls.op7_url_filter,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
@@ -19,5 +20,6 @@ def oracle_sql():
         "op4_chat_formatting": chat.OP4_SQL,
         "op6_jaccard_join": jaccard.OP6_SQL,
         "op7_url_filter": urls.OP7_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_substring_dedup": substring.OP10_SQL,
     }
