@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, components
-from .text import hash_words, mix, rolling, signed, slices, split_words, starts_within
+from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
 SHARED = 4  # K: shingles that two sets indexed by single shingles must share within their prefixes
@@ -40,8 +40,8 @@ STAR_ROUNDS = 8
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    offsets, flat = split_words(pc.ascii_lower(texts))
-    lane = hash_words(flat)[:, 0]
+    offsets, lanes = word_lanes(texts, lower=True)
+    lane = lanes[0]
     start, doc = starts_within(offsets, words)
     all_ = rolling(lane, words)[start] if len(start) else np.zeros(0, np.uint64)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -57,8 +57,6 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def _node(s: np.ndarray) -> int:
-    import xxhash
-
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 

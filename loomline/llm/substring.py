@@ -1,9 +1,13 @@
 """Substring dedup by seed and extend.
 
-Seeds are winnowed anchors: of the nine 5-word hashes inside a window of 13 words, the least. Equal
-windows have equal anchors, so only windows whose anchor stands in two or more documents can repeat.
-Each such seed is extended both ways over all windows that it anchors; windows are compared by 128-bit
-hashes of their words, and runs of repeated windows make the maximal repeats that are removed.
+Seeds are winnowed anchors: of the seven 7-word hashes inside a window of 13 words, the least. Equal
+windows have equal anchors, so only windows whose anchor stands in two or more documents can repeat. Each
+such seed is extended both ways over the run of windows that it anchors. Runs whose whole span of words
+also stands in a document with a smaller id are repeats; of the other runs (first occurrences, edges of
+shared passages, chance seeds) the windows are compared one by one. The first document that holds a
+window holds it in a run of that second kind, so both steps together find every repeated window. Windows
+are compared by 96-bit and runs by 128-bit hashes of their words; overlapping repeats make the maximal
+repeats that are removed.
 
 Rows with a null text have no words. Texts shorter than the window are kept whole. Rows with a null id
 have no place in the order of documents: they are kept whole and remove nothing. Repeated rows of one
@@ -22,24 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Workspace
-from .text import hash_words, mix, rolling, rolling_min, signed, slices, split_words, starts_within
+from .text import mix, rolling, rolling_min, signed, slices, split_words, starts_within, word_lanes
 
-SEED_WORDS = 5
+SEED_WORDS = 7
+RUN = 32  # longer runs (one anchor over and over) are cut after so many windows
 
 
 def _anchors(offsets: np.ndarray, lanes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every window: flat start, text and anchor."""
     seed = min(SEED_WORDS, window)
     start, doc = starts_within(offsets, window)
-    least = rolling_min(rolling(lanes[:, 0], seed), window - seed + 1) if len(start) else np.zeros(0, np.uint64)
+    least = rolling_min(rolling(lanes[0], seed), window - seed + 1) if len(start) else np.zeros(0, np.uint64)
     return start, doc, least[start]
 
 
 def _seeds(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            offsets, flat = split_words(b.column("__text"))
-            _, doc, anchor = _anchors(offsets, hash_words(flat), window)
+            _, doc, anchor = _anchors(*word_lanes(b.column("__text")), window)
             if not len(doc):
                 continue
             new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
@@ -59,35 +63,62 @@ def _extend(window: int):
             b = b.filter(b.column("anchors").is_valid())
             if not b.num_rows:
                 continue
-            offsets, flat = split_words(b.column("__text"))
-            lanes = hash_words(flat)
+            offsets, lanes = word_lanes(b.column("__text"))
             start, doc, anchor = _anchors(offsets, lanes, window)
             shared = b.column("anchors")
             lens = np.diff(shared.offsets.to_numpy())
             values = shared.flatten().to_numpy().view(np.uint64)
             salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))  # noqa: E731  so that anchors count for their own text only
             hit = np.isin(anchor ^ salt(doc), values ^ salt(np.repeat(np.arange(len(lens)), lens)))
-            start, doc = start[hit], doc[hit]
-            w1, w2 = rolling(lanes[:, 0], window), rolling(lanes[:, 1], window)
-            at = pa.array(doc)
+            start, doc, anchor = start[hit], doc[hit], anchor[hit]
+            if not len(start):
+                continue
+            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)))
+            place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            first = np.flatnonzero(place % RUN == 0)
+            place = (place % RUN).astype(np.uint64)
+            w1, w2 = rolling(lanes[0], window)[start], rolling(lanes[1], window)[start]
+            r1, r2 = (mix(np.add.reduceat(mix(w + place * np.uint64(0x9E3779B97F4A7C15)), first)) for w in (w1, w2))
+            keys = np.empty(len(start), _WINDOW)
+            keys["w1"], keys["w2"] = w1, w2 >> np.uint64(32)
+            at = pa.array(doc[first])
+            ends = np.append(first, len(start)).astype(np.int32) * _WINDOW.itemsize
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("__id").take(at), b.column("__row").take(at), signed(w1[start]), signed(w2[start]), pa.array((start - offsets[doc]).astype(np.int32))],
-                ["__id", "__row", "w1", "w2", "start"],
+                [b.column("__id").take(at), b.column("__row").take(at), signed(r1), signed(r2), pa.array((start - offsets[doc])[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(start))).astype(np.int32)), packed],
+                ["__id", "__row", "r1", "r2", "start", "n", "windows"],
             )
 
     return run
 
 
+_WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u4")])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each run."""
+    for b in batches:
+        n = b.column("n").to_numpy().astype(np.int64)
+        keys = np.frombuffer(b"".join(b.column("windows").to_pylist()), _WINDOW)
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        within = np.arange(n.sum()) - np.repeat(np.concatenate(([0], n.cumsum()[:-1])), n) if len(n) else n
+        start = np.repeat(b.column("start").to_numpy(), n) + within
+        yield pa.RecordBatch.from_arrays(
+            [b.column("__id").take(at), b.column("__row").take(at), signed(keys["w1"]), pa.array(np.ascontiguousarray(keys["w2"]).view(np.int32)), pa.array(start.astype(np.int32))],
+            ["__id", "__row", "w1", "w2", "start"],
+        )
+
+
 def _cut(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
             offsets, flat = split_words(b.column("__text"))
-            starts = b.column("starts")
+            spans = b.column("spans")
             gone = np.zeros(len(flat) + 1, np.int64)
-            lens = np.diff(starts.offsets.to_numpy())
-            at = starts.flatten().to_numpy().astype(np.int64) + np.repeat(offsets[:-1], lens)
+            flat_spans = spans.flatten()
+            at = flat_spans.field("start").to_numpy().astype(np.int64) + np.repeat(offsets[:-1], np.diff(spans.offsets.to_numpy()))
             np.add.at(gone, at, 1)
-            np.add.at(gone, at + window, -1)
+            np.add.at(gone, at + flat_spans.field("n").to_numpy() + (window - 1), -1)
             keep = gone[:-1].cumsum() == 0
             kept_at = np.concatenate(([0], keep.cumsum()))[offsets]
             words = pa.ListArray.from_arrays(pa.array(kept_at, pa.int32()), flat.filter(pa.array(keep)).cast(pa.string()))
@@ -116,15 +147,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     ws.drop(seeds)
     found = base.select("__id", "__row", "__text").join(per_doc, ["__id", "__row"], "left")
-    windows = found.mapInArrow(_extend(window), "__id long, __row int, w1 long, w2 long, start int")
+    runs = ws.save(found.mapInArrow(_extend(window), "__id long, __row int, r1 long, r2 long, start int, n int, windows binary"), "runs")
+    first = runs.groupBy("r1", "r2").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("r1", "r2", "lo")
+    known = ws.save(runs.join(first, ["r1", "r2"], "left").select("__id", "__row", "start", "n", F.coalesce(F.expr("lo < __id"), F.lit(False)).alias("whole"), F.expr("CASE WHEN lo < __id THEN NULL ELSE windows END").alias("windows")), "known-runs")
+    ws.drop(per_doc, runs)
+    windows = ws.save(known.where("NOT whole").mapInArrow(_unpack, "__id long, __row int, w1 long, w2 int, start int"), "windows")
     owner = windows.groupBy("w1", "w2").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    repeats = ws.save(
-        windows.join(owner, ["w1", "w2"]).where("lo < __id").groupBy("__id", "__row").agg(F.collect_set("start").alias("starts")), "repeats"
-    )
-    ws.drop(per_doc)
-    out = base.join(repeats, ["__id", "__row"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    single = windows.join(owner, ["w1", "w2"]).where("lo < __id").select("__id", "__row", "start", F.lit(1).alias("n"))
+    repeats = known.where("whole").select("__id", "__row", "start", "n").union(single)
+    repeats = ws.save(repeats.groupBy("__id", "__row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeats")
+    ws.drop(known, windows)
+    out = base.join(repeats, ["__id", "__row"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return out.select(*(F.col(f"`{c}`") for c in names), "__text", "starts").mapInArrow(_cut(window, names), schema)
+    return out.select(*(F.col(f"`{c}`") for c in names), "__text", "spans").mapInArrow(_cut(window, names), schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

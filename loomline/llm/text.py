@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,14 +36,53 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate(([0], counts.cumsum())), flat
 
 
-def hash_words(flat: pa.Array) -> np.ndarray:
-    """Two independent 64-bit hashes of each word, as an (n, 2) array."""
-    if len(flat) == 0:
-        return np.zeros((0, 2), np.uint64)
-    coded = flat.dictionary_encode()
-    digest = xxhash.xxh3_128_digest
-    table = np.frombuffer(b"".join([digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]), "<u8").reshape(-1, 2)
-    return table[coded.indices.to_numpy()]
+def word_lanes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets as of split_words, and two independent 64-bit hashes of each word as a (2, n) array.
+
+    A hash is a polynomial in the word's bytes over random 64-bit values, computed on the flat bytes of all
+    texts; ``lower`` reads A-Z as a-z.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    space = _SPACE[data]
+    before = np.ones(len(data) + 1, bool)
+    before[1:] = space
+    before[bounds] = True
+    after = np.ones(len(data) + 1, bool)
+    after[:-1] = space
+    after[bounds] = True
+    inside = ~space
+    starts = np.flatnonzero(inside & before[:-1])
+    offsets = np.searchsorted(starts, bounds)
+    if not len(starts):
+        return offsets, np.zeros((2, 0), np.uint64)
+    lens = np.flatnonzero(inside & after[1:]) + 1 - starts
+    first = np.concatenate(([0], lens[:-1].cumsum()))
+    power = _powers(int(lens.max()))[:, np.arange(lens.sum()) - np.repeat(first, lens)]
+    letters = data[inside]
+    values = (_LOWER_VALUES if lower else _VALUES)[:, letters]
+    return offsets, mix(np.add.reduceat(values * power, first, axis=1))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False)
+_LOWER_VALUES = _VALUES.copy()
+_LOWER_VALUES[:, 65:91] = _VALUES[:, 97:123]
+_BASES = np.array([[0x9E3779B97F4A7C15], [0xD1342543DE82EF95]], np.uint64)
+_SHORT: list[np.ndarray] = []
+
+
+def _powers(n: int) -> np.ndarray:
+    if n <= 256 and _SHORT:
+        return _SHORT[0]
+    table = np.cumprod(np.broadcast_to(_BASES, (2, max(n, 256))), axis=1, dtype=np.uint64)
+    if n <= 256:
+        _SHORT.append(table)
+    return table
 
 
 def mix(h: np.ndarray) -> np.ndarray:
