@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import archives, chat, decontaminate, extract, jaccard, language, packing, substring, urls
+from . import archives, chat, decontaminate, extract, jaccard, language, neighbours, packing, substring, urls
 
 
 def queries():
     return {
         "op1_packing": packing.op1_packing,
+        "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_language_id": language.op3_language_id,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_warc": archives.op5_warc,
