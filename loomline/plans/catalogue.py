@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -22,9 +23,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in ("q_text", "q_chunks", "q_sets"):
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
