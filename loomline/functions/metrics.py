@@ -174,4 +174,4 @@ def evaluate(df: DataFrame, names: list[str], pred: str = "pred", golds: str = "
 def report(df: DataFrame, names: list[str]) -> DataFrame:
     """Means in long form (metric, value); 0 over no rows (AGG-04)."""
     means = df.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names))
-    return means.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(n), F.col(n)) for n in names)))).alias("metric", "value"))
+    return means.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names)))).alias("metric", "value"))
