@@ -7,7 +7,9 @@ of 0.75, a set that has at least m + K rare shingles is indexed under its first
 shingles (any partner shares K of them). A set with fewer is indexed under all its rare shingles, and its
 prefix is extended into the frequent class, where each two neighbours in the order make one combined key:
 at most n / 2 of these n - 1 combinations can be broken by what either set lacks, so one is shared. A
-shingle is frequent if its counter, of a fixed number over all documents, stands well above the mean.
+shingle is frequent if its counter stands well above the mean; the counters cover all documents, and their
+number follows the number of documents up to a fixed bound. Of two sets the smaller one lacks at most n / 7,
+so its keys beyond the first n / 7 + K need not be paired.
 
 Candidates are verified by the exact size of the intersection. Copies within large groups are not paired
 with each other: in every key's group, each member of another component is compared with one centre, the
@@ -25,17 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components
+from .shared import Workspace, broadcast_if_small, components
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
 SHARED = 4  # K: shingles that two sets indexed by single shingles must share within their prefixes
-COUNTER_BITS = 21
+COUNTERS_PER_DOC = 32
+COUNTER_BITS = 16, 24  # least and most; the latter takes 64 MB of a task's memory
 BLOCK_BITS = 15
-STAR_ROUNDS = 8
+STAR_ROUNDS = 4
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -60,13 +64,14 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _sets(words: int):
+def _sets(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         for b in slices(batches, "__text"):
             sets = shingle_sets(b.column("__text"), words)
             if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                at, more = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+                counts[at] += more.astype(np.uint32)
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), *none], ["id", "n", "node", "block", "counts"])
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
@@ -91,16 +96,16 @@ def _frequent(limit: int):
     return run
 
 
-def _keys(frequent: bytes, words: int):
+def _keys(frequent: bytes, words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
         for b in slices(batches, "__text"):
-            keys, nodes, ns, mixed = [], [], [], []
+            keys, nodes, ns, mixed, inner = [], [], [], [], []
             for s in shingle_sets(b.column("__text"), words):
                 n = len(s)
                 if n < 3:  # only equal sets can link
                     continue
-                is_hot = hot[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                is_hot = hot[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 rare, most = s[~is_hot], n // 4 + SHARED
                 if short := len(rare) < most:
                     often = s[is_hot]
@@ -108,11 +113,12 @@ def _keys(frequent: bytes, words: int):
                 else:
                     k = rare[:most]
                 keys.append(k), nodes.append(_node(s)), ns.append(n), mixed.append(short)
+                inner.append(np.arange(len(k)) < (len(k) if short else n // 7 + SHARED))
             if keys:
                 lens = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(ns, np.int32), lens)), pa.array(np.repeat(np.array(mixed), lens))],
-                    ["key", "node", "n", "wide"],
+                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(ns, np.int32), lens)), pa.array(np.repeat(np.array(mixed), lens)), pa.array(np.concatenate(inner))],
+                    ["key", "node", "n", "wide", "inner"],
                 )
 
     return run
@@ -130,11 +136,8 @@ def _full_sets(words: int):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         link = []
-        cached = None, None
-        for a, x, y in zip(b.column("a").to_pylist(), b.column("x"), b.column("y"), strict=True):
-            if cached[0] != a:
-                cached = a, np.frombuffer(x.as_buffer(), np.uint64)
-            xs, ys = cached[1], np.frombuffer(y.as_buffer(), np.uint64)
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            xs, ys = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             at = np.searchsorted(xs, ys)
             same = int((xs[np.minimum(at, len(xs) - 1)] == ys).sum())
             link.append(100 * same >= 75 * (len(xs) + len(ys) - same))
@@ -146,62 +149,66 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ws = ws or Workspace(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__id IS NOT NULL")
-    both = ws.save(base.mapInArrow(_sets(words), "id long, n long, node long, block int, counts binary"), "sets")
+    bits = min(COUNTER_BITS[1], max(COUNTER_BITS[0], (base.count() * COUNTERS_PER_DOC).bit_length()))
+    both = ws.save(base.mapInArrow(_sets(words, bits), "id long, n long, node long, block int, counts binary"), "sets")
     sets = both.where("block IS NULL").select("id", "n", "node")
-    mean = (sets.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
-    limit = int(mean + 8 * mean**0.5 + 32)
-    n_blocks = 1 << (COUNTER_BITS - BLOCK_BITS)
-    counted = both.where("block IS NOT NULL").select("block", "counts").repartition(n_blocks, "block").mapInArrow(_frequent(limit), "block int, bits binary")
+    mean = (sets.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    limit = int(mean + 4 * mean**0.5 + 16)
+    n_blocks = 1 << (bits - BLOCK_BITS)
+    counted = both.where("block IS NOT NULL").select("block", "counts").repartition(min(64, n_blocks), "block").mapInArrow(_frequent(limit), "block int, bits binary")
     size = (1 << BLOCK_BITS) // 8
-    bits = bytearray(n_blocks * size)
-    for r in counted.collect():  # of a fixed size: one bit for each counter
-        bits[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
-
-    keys = ws.save(base.select("__text").mapInArrow(_keys(bytes(bits), words), "key long, node long, n int, wide boolean"), "keys")
+    frequent = bytearray(n_blocks * size)
+    for r in counted.toLocalIterator():  # of a bounded size: one bit for each counter, 2 MB at most
+        frequent[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
+
+    one = ws.save(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
+    copies = sets.where("n > 0").join(one, "node").where("id > rep").select(F.col("id").alias("__id")).distinct()
+    firsts = base.join(broadcast_if_small(ws.save(copies, "copies"), BROADCAST_ROWS), "__id", "left_anti")
+    keys = ws.save(firsts.select("__text").mapInArrow(_keys(bytes(frequent), words, bits), "key long, node long, n int, wide boolean, inner boolean"), "keys")
     shared = ws.save(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared-keys")
-    met = ws.save(keys.join(shared, "key", "left_semi").distinct(), "met-keys")
+    near = Window.partitionBy("key").orderBy("n")  # a set stays under a key only with one of a size that it can link with
+    met = keys.join(shared, "key", "left_semi").withColumn("less", F.lag("n").over(near)).withColumn("more", F.lead("n").over(near))
+    met = ws.save(met.where("4L * less >= 3L * n OR 4L * n >= 3L * more").drop("less", "more"), "met-keys")
     ws.drop(keys, shared)
-    able = met.groupBy("node").agg(F.count("*").alias("c"), F.first("wide").alias("w")).where(F.col("w") | (F.col("c") >= SHARED))
-    index = ws.save(met.join(able.select("node"), "node", "left_semi"), "index")
+    index = ws.save(_able(met), "index")
+    ws.drop(met)
 
-    one = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"))
     pick = one.join(index.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("__id"))
-    full = ws.save(base.join(pick.distinct(), "__id", "left_semi").select("__text").mapInArrow(_full_sets(words), "node long, hashes binary").dropDuplicates(["node"]), "full-sets")
+    pick = broadcast_if_small(ws.save(pick.distinct(), "picked"), BROADCAST_ROWS)
+    full = ws.save(base.join(pick, "__id", "left_semi").select("__text").mapInArrow(_full_sets(words), "node long, hashes binary"), "full-sets")
 
-    tested, links, labels, star, rounds = None, None, None, True, 0
+    tested, labels, star, rounds = None, None, True, 0
+    here = index.withColumn("comp", F.col("node"))
     while True:
-        here = index.select("key", "node", "n", "wide")
-        if labels is None:
-            here = here.withColumn("comp", F.col("node"))
-        else:
-            here = here.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        here = ws.save(here, "members")
         groups = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "comp", "wide"), F.xxhash64("comp", "node", F.lit(rounds))).alias("c")).where("lo < hi")
         if star:
             pairs = here.join(groups.select("key", "c"), "key").where("comp <> c.comp").select(F.col("c.node").alias("p"), F.col("node").alias("q"), F.col("c.n").alias("pn"), F.col("n").alias("qn"), (F.col("wide") & F.col("c.wide")).alias("wide"))
         else:
-            mixed = here.join(groups.select("key"), "key", "left_semi")
-            l, r = mixed.alias("l"), mixed.alias("r")
-            pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.n").alias("pn"), F.col("r.n").alias("qn"), (F.col("l.wide") & F.col("r.wide")).alias("wide"))
+            l, r = here.alias("l"), here.alias("r")
+            smaller = F.when(F.col("l.n") < F.col("r.n"), F.col("l.inner")).when(F.col("l.n") > F.col("r.n"), F.col("r.inner")).otherwise(F.col("l.inner") | F.col("r.inner"))
+            pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.n").alias("pn"), F.col("r.n").alias("qn"), (F.col("l.wide") & F.col("r.wide")).alias("wide"))
         pairs = pairs.where("4L * least(pn, qn) >= 3L * greatest(pn, qn)")
-        pairs = pairs.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("c"), F.min("wide").alias("wide"))
+        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("c"), F.min("wide").alias("wide"))
         # A star may pass over a pair that shares few keys with its centre; the last round compares all.
-        pairs = pairs.where(F.col("wide") | (F.col("c") >= (2 if star else SHARED))).select("a", "b")
+        pairs = pairs.where(F.col("wide") | (F.col("c") >= (2 if star else SHARED))).select("p", "q", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        x = full.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-        y = full.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        done = ws.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, link boolean"), "verified")
+        # the member's set first, then the centre's: one set of each pair is shuffled
+        x, y = full.select(F.col("node").alias("p"), F.col("hashes").alias("x")), full.select(F.col("node").alias("q"), F.col("hashes").alias("y"))
+        done = pairs.join(y, "q").join(x, "p").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, link boolean")
+        done = ws.save(done, "verified")
         n_links = done.where("link").count()
         tested = done if tested is None else tested.union(done)
-        ws.drop(here)
         if n_links:
-            links = tested.where("link").select("a", "b")
-            labels = components(ws, links)
+            labels = components(ws, tested.where("link").select("a", "b"))
         rounds += 1
         if not star:
             break
         star = n_links > 0 and rounds < STAR_ROUNDS
+        if labels is not None:
+            here = here.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            here = ws.save(_able(ws.save(here.join(open_keys, "key", "left_semi"), "open")), "members")
 
     named = one if labels is None else one.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     if labels is None:
@@ -212,6 +219,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _able(index: DataFrame) -> DataFrame:
+    """Rows of the sets that may still link by their number of keys."""
+    able = index.groupBy("node").agg(F.count("*").alias("c"), F.first("wide").alias("w")).where(F.col("w") | (F.col("c") >= SHARED))
+    return index.join(able.select("node"), "node", "left_semi")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
     out = jaccard_components(docs, id_col, text_col, ws=ws)
