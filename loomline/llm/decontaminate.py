@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted = broadcast_if_small(item.select("k", "shingle").distinct(), BROADCAST_ROWS)
     shared = None
     for n in lengths:
-        s = picked.select("id", F.explode(shingles_of(words_of(F.col("text")), n)).alias("shingle")).withColumn("k", F.lit(n))
+        w = picked.select("id", words_of(F.col("text")).alias("w"))  # once for each text, not for each shingle
+        s = w.select("id", F.explode(shingles_of(F.col("w"), n)).alias("shingle")).withColumn("k", F.lit(n))
         s = s.join(wanted, ["shingle", "k"], "left_semi").select("id", "shingle", "k")
         shared = s if shared is None else shared.union(s)
     hits = shared.distinct().join(item.select("shingle", "k", "item"), ["shingle", "k"]).groupBy("id", "item").agg(F.count("*").alias("n_shared"))
