@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("q_text", "q_chunks", "q_sets", "q_joins", "q_windows"):
+    for name in ("q_text", "q_chunks", "q_sets", "q_joins", "q_windows", "q_flows"):
         import_module(f"{__package__}.{name}")
 
 
