@@ -39,6 +39,7 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("div section aside nav header footer form fieldset figure details dialog menu".split())
 DROPPED = set("script style noscript template nav header footer aside form fieldset button input select textarea iframe svg canvas object embed dialog menu head title xmp noembed noframes".split())
+UNSEEN = set("script style noscript template".split())
 SAYS_NO = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr alert"
     " sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social"
@@ -178,7 +179,10 @@ def main_text(tree: Element, template: set[int]) -> str:
                 run.append(x)
             elif x.tag == "br":
                 run.append("\n")
-            elif not (x.dropped or template and x is not root and x.tag in CONTAINERS and x.key in template):
+            elif x.dropped or template and x is not root and x.tag in CONTAINERS and x.key in template:
+                if x.tag not in INLINE and x.tag not in UNSEEN:  # what goes still parts the blocks around it
+                    close()
+            else:
                 if x.tag not in INLINE:
                     close()
                     todo.append(None)
