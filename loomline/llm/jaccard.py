@@ -34,11 +34,12 @@ from .shared import Workspace, broadcast_if_small, components
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
-SHARED = 4  # K: shingles that two sets indexed by single shingles must share within their prefixes
+SHARED = 16  # K: shingles that two sets indexed by single shingles must share within their prefixes
+HEAD = 16  # least open keys of a set with combined keys, by which a pair of two such sets is met once
 COUNTERS_PER_DOC = 32
 COUNTER_BITS = 16, 24  # least and most; the latter takes 64 MB of a task's memory
 BLOCK_BITS = 15
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000
 
 
@@ -184,13 +185,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if star:
             pairs = here.join(groups.select("key", "c"), "key").where("comp <> c.comp").select(F.col("c.node").alias("p"), F.col("node").alias("q"), F.col("c.n").alias("pn"), F.col("n").alias("qn"), (F.col("wide") & F.col("c.wide")).alias("wide"))
         else:
-            l, r = here.alias("l"), here.alias("r")
+            heads = here.where("wide").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, HEAD).alias("head"))
+            headed = here.join(heads, "node", "left")
+            l, r = headed.alias("l"), headed.alias("r")
             smaller = F.when(F.col("l.n") < F.col("r.n"), F.col("l.inner")).when(F.col("l.n") > F.col("r.n"), F.col("r.inner")).otherwise(F.col("l.inner") | F.col("r.inner"))
-            pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.n").alias("pn"), F.col("r.n").alias("qn"), (F.col("l.wide") & F.col("r.wide")).alias("wide"))
+            # two sets with combined keys may share hundreds of them: of those in both heads only the least counts
+            both = F.array_intersect("l.head", "r.head")
+            once = F.coalesce(F.size(both) <= 0, F.lit(True)) | (F.col("l.key") == F.array_min(both))
+            pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller & once).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.n").alias("pn"), F.col("r.n").alias("qn"), (F.col("l.wide") & F.col("r.wide")).alias("wide"))
         pairs = pairs.where("4L * least(pn, qn) >= 3L * greatest(pn, qn)")
         pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("c"), F.min("wide").alias("wide"))
         # A star may pass over a pair that shares few keys with its centre; the last round compares all.
-        pairs = pairs.where(F.col("wide") | (F.col("c") >= (2 if star else SHARED))).select("p", "q", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        pairs = pairs.where(F.col("wide") | (F.col("c") >= (SHARED // 2 if star else SHARED))).select("p", "q", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         # the member's set first, then the centre's: one set of each pair is shuffled

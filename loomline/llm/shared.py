@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL_EDGES = 200_000
 _CLEANUP = (
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled",
     "spark.sql.shuffleDependency.fileCleanup.enabled",
@@ -80,7 +81,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each round is two aggregations with map-side
     combining and two joins whose skewed side Spark can split, and ends in a written table. Nodes
-    without an edge to another node have no row. Null ends are dropped.
+    without an edge to another node have no row. Null ends are dropped. A table of at most SMALL_EDGES edges,
+    by count, is dealt with in one task, without any exchange.
     """
     e = ws.save(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -88,23 +90,21 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = _mark(e)
+    saved, mark = e, _mark(e)
     while mark[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if mark[0] <= SMALL_EDGES:
+            e = e.coalesce(1)
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
-        nxt = (
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low2.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .distinct()
-        )
+        # each node of a star and its centre both point to the least; a row of the least itself makes (u, m)
+        nxt = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         nxt = ws.save(nxt, "edges")
-        ws.drop(e)
-        e, before, mark = nxt, mark, _mark(nxt)
+        ws.drop(saved)
+        e, saved, before, mark = nxt, nxt, mark, _mark(nxt)
         if mark == before:
             break
     roots = e.select("v").distinct()
