@@ -19,8 +19,10 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) ->
     """(good rows, malformed lines); blank lines count as neither (SRC-01)."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    rows = rows.select("*")
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    lines = spark.read.text(path).where(F.trim("value") != "")  # a read of the corrupt column alone is refused
+    parsed = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"))
+    bad = parsed.where(F.col(f"j.{CORRUPT}").isNotNull()).select(F.col("value").alias(CORRUPT))
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -76,7 +78,7 @@ def _as_json(raw: str) -> tuple[str, bool]:
 
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, raw, ok) of the objects of multi-line JSONL files, in parallel over files (SRC-03)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,7 +122,7 @@ def with_contents(df: DataFrame) -> DataFrame:
 
 def read_html_folder(spark: SparkSession, path: str, prefix: str = "https://en.wikipedia.org/wiki/") -> DataFrame:
     """(title, url, html) of the .html files of a folder (SRC-07)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(path).select(F.col("value").alias("html"), F.input_file_name().alias("f"))
+    files = spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("f"))
     stem = F.regexp_extract(F.try_url_decode(F.replace("f", F.lit("+"), F.lit("%2B"))), r"([^/]+)\.html$", 1)
     return files.select(F.replace(stem, F.lit("_"), F.lit(" ")).alias("title"), F.concat(F.lit(prefix), stem).alias("url"), "html")
 
@@ -128,8 +130,8 @@ def read_html_folder(spark: SparkSession, path: str, prefix: str = "https://en.w
 def join_side_files(spark: SparkSession, tables: str, links: str) -> DataFrame:
     """Tables with the link map of the file of the same name; tables without one go (SRC-08)."""
     stem = lambda: F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(tables).select(stem().alias("stem"), F.from_json("value", "url string, title string, header array<array<string>>, data array<array<array<string>>>").alias("t"))
-    k = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(links).select(stem().alias("stem"), F.from_json("value", "map<string,string>").alias("links"))
+    t = spark.read.option("pathGlobFilter", "*.json").text(tables, wholetext=True).select(stem().alias("stem"), F.from_json("value", "url string, title string, header array<array<string>>, data array<array<array<string>>>").alias("t"))
+    k = spark.read.option("pathGlobFilter", "*.json").text(links, wholetext=True).select(stem().alias("stem"), F.from_json("value", "map<string,string>").alias("links"))
     first = lambda cells: F.transform(cells, lambda c: F.get(c, F.lit(0)))
     return t.join(k, "stem").select("stem", "t.url", "t.title", first(F.col("t.header")).alias("header"), F.transform("t.data", first).alias("data"), "links")
 
