@@ -32,12 +32,12 @@ WINDOW = 1024
 END_ID = 0
 SHARD = 1024  # rests in one inverted index
 TASK_TOKENS = 4 << 20
-QUERY_TERMS = 12
+QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 BLOCK = 4096
 
 #: Fixed value: the pattern by which the byte-level vocabulary splits text before its merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def _letters() -> dict[str, int]:
@@ -72,6 +72,7 @@ def _tokenize(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         small = np.uint16 if encode.size <= 1 << 16 else np.uint32
+        documents = np.zeros(-(-encode.size // BLOCK) * BLOCK, np.int64)  # in whose rest each id stands
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 out: list[tuple] = []
@@ -81,24 +82,28 @@ def _tokenize(path: str, window: int):
                     out += [(doc, s, window, zlib.crc32(ids[s : s + window]), n, None) for s in range(0, n - window + 1, window)]
                     if n % window:
                         s = n - n % window
-                        out.append((doc, s, n - s, None, n, ids[s:].astype(small).tobytes()))
+                        rest = ids[s:].astype(small)
+                        documents[_terms(rest)[0]] += 1
+                        out.append((doc, s, n - s, None, n, rest.tobytes()))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                none = pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), *none], list(_WRITTEN))
+        blocks = documents.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        none = [*[pa.nulls(len(used), pa.int64())] * 5, pa.nulls(len(used), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], list(_WRITTEN))
 
     return run
 
 
-def _frequencies(size: int, small: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(-(-size // BLOCK) * BLOCK, np.int64)
-        for b in batches:
-            for ids in b.column("ids"):
-                total[np.unique(np.frombuffer(ids.as_buffer(), small))] += 1
-        blocks = total.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
+_WRITTEN = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "ids": "binary", "block": "int", "counts": "binary"}
 
-    return run
+
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their counts."""
+    s = np.sort(ids, kind="stable")
+    first = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
+    return s[first], np.diff(first, append=len(s))
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    terms, tf = np.unique(ids, return_counts=True)
+    terms, tf = _terms(ids)
     return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32)
 
 
@@ -123,8 +128,9 @@ def _keyed(idf: np.ndarray, mean: float, small: str):
             keys = []
             for ids in b.column("ids"):
                 terms, w = _weights(np.frombuffer(ids.as_buffer(), small), idf, mean)
-                top = terms[np.argsort(-w, kind="stable")[:2]].astype(np.int64)
-                keys.append(int(top[0]) << 32 | int(top[-1]))
+                one = int(w.argmax())
+                w[one] = -1
+                keys.append(int(terms[one]) << 32 | int(terms[w.argmax()]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "key"])
 
     return run
@@ -179,12 +185,10 @@ class _Packer:
             for lo, hi in zip(np.searchsorted(terms, query), np.searchsorted(terms, query, "right"), strict=True):
                 score[docs[lo:hi]] += weights[lo:hi]
             score[~unused] = -1
-            for d in np.argsort(-score, kind="stable"):
-                if not unused[d]:
-                    break
-                unused[d] = False
+            while score[d := int(score.argmax())] >= 0:
+                unused[d], score[d] = False, -1
                 if (end := self.place(rows[d], texts[d], 0)) < len(texts[d]):
-                    begin = int(d), end
+                    begin = d, end
                 if not self.filled:
                     break
 
@@ -223,12 +227,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     size = Encoder(tokenizer_path).size
     small = "<u2" if size <= 1 << 16 else "<u4"
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = ws.save(base.mapInArrow(_tokenize(tokenizer_path, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"), "pieces")
+    written = ws.save(base.mapInArrow(_tokenize(tokenizer_path, window), ", ".join(f"{c} {t}" for c, t in _WRITTEN.items())), "pieces")
+    pieces = written.where("block IS NULL").drop("block", "counts")
     whole = pieces.where("ids IS NULL").withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     rests = pieces.where("ids IS NOT NULL").select("doc_id", "start", "length", "doc_tokens", "ids")
 
     n, tokens = rests.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    counted = rests.select("ids").mapInArrow(_frequencies(size, small), "block int, counts binary").repartition(-(-size // BLOCK), "block").mapInArrow(_add_up, "block int, counts binary")
+    counted = written.where("block IS NOT NULL").select("block", "counts").repartition(-(-size // BLOCK), "block").mapInArrow(_add_up, "block int, counts binary")
     df = np.zeros(-(-size // BLOCK) * BLOCK, np.int64)
     for r in counted.collect():  # of a fixed size: one count for each id of the vocabulary
         df[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
@@ -236,6 +241,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     mean = tokens / n if n else 1.0
 
     keyed = rests.mapInArrow(_keyed(idf, mean, small), "doc_id long, start long, length long, doc_tokens long, ids binary, key long")
+    keyed = ws.save(keyed, "rests")  # so that the ranges are drawn from the keys alone
     dealt = keyed.repartitionByRange(max(1, -(-tokens // TASK_TOKENS)), "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
     packed = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(window, idf, mean, small), ", ".join(f"{c} long" for c in _PIECE))
     return whole.select(*_PIECE).unionByName(packed)
