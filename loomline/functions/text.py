@@ -190,15 +190,19 @@ def words_and_symbols(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[<>=/!@#$%^&*()?\":{}|\\`~;_+-]"), F.lit(0))
 
 
-def compression_tags(c: Column) -> Column:
+#: Fixed value: the name of the inline mark that carries a segment's rate and flag.
+COMPRESSION_TAG = "llmlingua"
+
+
+def compression_tags(c: Column, tag: str = COMPRESSION_TAG) -> Column:
     """(segment, rate, flag) of inline <tag, rate=x, compress=y>..</tag> marks; rate null and flag true by default (STR-34)."""
-    each = F.regexp_extract_all(c, F.lit(r"(?s)<llmlingua[^>]*>.*?</llmlingua>"), F.lit(0))
+    each = F.regexp_extract_all(c, F.lit(rf"(?s)<{tag}[^>]*>.*?</{tag}>"), F.lit(0))
     return F.transform(
         each,
         lambda t: F.struct(
-            F.regexp_extract(t, r"(?s)^<llmlingua[^>]*>(.*?)</llmlingua>$", 1).alias("segment"),
-            F.nullif(F.regexp_extract(t, r"^<llmlingua[^>]*rate\s*=\s*([0-9.]+)", 1), F.lit("")).cast("double").alias("rate"),
-            (F.lower(F.regexp_extract(t, r"^<llmlingua[^>]*compress\s*=\s*([A-Za-z]+)", 1)) != "false").alias("flag"),
+            F.regexp_extract(t, rf"(?s)^<{tag}[^>]*>(.*?)</{tag}>$", 1).alias("segment"),
+            F.nullif(F.regexp_extract(t, rf"^<{tag}[^>]*rate\s*=\s*([0-9.]+)", 1), F.lit("")).cast("double").alias("rate"),
+            (F.lower(F.regexp_extract(t, rf"^<{tag}[^>]*compress\s*=\s*([A-Za-z]+)", 1)) != "false").alias("flag"),
         ),
     )
 

@@ -31,6 +31,11 @@ def cached(queries: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, D
     return queries.join(cache, key), queries.join(cache, key, "left_anti")
 
 
+def cached_generations(prompts: DataFrame, cache: DataFrame, n: int, key: str = "prompt", outputs: str = "outputs") -> tuple[DataFrame, DataFrame]:
+    """As ``cached``; an entry counts only if it holds n outputs (SRC-19)."""
+    return cached(prompts, cache.where(F.size(outputs) == n), key)
+
+
 def merge_cache(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Union of both where the stored value wins."""
     return stored.unionByName(new.join(stored, key, "left_anti"))

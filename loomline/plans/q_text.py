@@ -113,7 +113,7 @@ def _(spark, d):
 @query("str_compression_tags", "SELECT item_id, text AS segment, 0.5::DOUBLE AS rate, item_id % 2 = 0 AS flag FROM benchmark")
 def _(spark, d):
     flag = F.when(F.col("item_id") % 2 == 0, F.lit("True")).otherwise(F.lit("False"))
-    made = F.concat(F.lit("<llmlingua, rate=0.5, compress="), flag, F.lit(">"), F.col("text"), F.lit("</llmlingua>"))
+    made = F.concat(F.lit(f"<{S.COMPRESSION_TAG}, rate=0.5, compress="), flag, F.lit(">"), F.col("text"), F.lit(f"</{S.COMPRESSION_TAG}>"))
     return table(spark, d, "benchmark").select("item_id", F.inline(S.compression_tags(made)))
 
 
