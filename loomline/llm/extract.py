@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, broadcast_if_small
+from .shared import Workspace, broadcast_if_small, without
 from .text import slices
 from .urls import host_of
 
@@ -42,7 +42,7 @@ DROPPED = set("script style noscript template nav header footer aside form field
 UNSEEN = set("script style noscript template".split())
 SAYS_NO = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr alert"
-    " sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social"
+    " sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments commentlist respond reply replies disqus share sharing social"
     " related recommended newsletter subscribe popup modal overlay toolbar pagination pager widget login search complementary contentinfo".split()
 )
 KEPT_ANYWAY = set("html body article main h1 h2 h3 h4 h5 h6".split())
@@ -58,7 +58,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
@@ -67,7 +68,7 @@ class Element:
     def __init__(self, tag: str, rest: str):
         self.tag, self.children, self.key = tag, [], None
         at = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(rest)} if rest.strip(" /") else {}
-        self.label = " ".join(at.get(k, "").lower() for k in ("class", "id", "role")).strip()
+        self.label = _HUMP.sub("-", " ".join(at.get(k, "") for k in ("class", "id", "role"))).lower().strip()
         says = tag not in KEPT_ANYWAY and (bool(self.label) and not SAYS_NO.isdisjoint(_WORD.findall(self.label)) or "hidden" in at)
         comment = tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORD.findall(self.label))
         self.dropped = tag in DROPPED or says or comment
@@ -218,8 +219,9 @@ def _extract(names: list[str]):
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, ws: Workspace | None = None) -> DataFrame:
-    """All rows of pages with main_text; this name must be free."""
+    """All rows of pages with main_text, which replaces a column of this name."""
     ws = ws or Workspace(pages.sparkSession)
+    pages = without(pages, "main_text")
     names = pages.columns
     host = host_of(F.coalesce(F.col(f"`{url_col}`"), F.lit("")))
     base = pages.select(*(F.col(f"`{c}`") for c in names), host.alias("__host"), F.col(f"`{html_col}`").alias("__html"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import without
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 FIT_ROWS = 8000
@@ -181,7 +182,8 @@ def _predict(model: Model, names: list[str]):
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows of docs with lang_pred and lang_score; these names must be free."""
+    """All rows of docs with lang_pred and lang_score, which replace columns of these names."""
+    docs = without(docs, "lang_pred", "lang_score")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("__text")).mapInArrow(_predict(model, names), schema)

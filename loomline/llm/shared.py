@@ -66,6 +66,12 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """Without the columns that an operator is to add, whatever their case: its own take their place."""
+    taken = {a.lower() for a in added}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
 def is_small(df: DataFrame, most: int) -> bool:
     """Whether a table has at most so many rows; reads no more than most + 1 of them."""
     return df.limit(most + 1).count() <= most

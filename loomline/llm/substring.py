@@ -11,7 +11,8 @@ repeats that are removed.
 
 Rows with a null text have no words. Texts shorter than the window are kept whole. Rows with a null id
 have no place in the order of documents: they are kept whole and remove nothing. Repeated rows of one
-id count as the same document and never remove each other's words. Other columns pass through.
+id count as the same document and never remove each other's words. Other columns pass through; those named
+n_words, n_removed or kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, without
 from .text import mix, rolling, rolling_min, signed, slices, split_words, starts_within, word_lanes
 
 SEED_WORDS = 7
@@ -136,6 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` words over it also starts in a document with a smaller id.
     """
     ws = ws or Workspace(docs.sparkSession)
+    docs = without(docs, "n_words", "n_removed", "kept_text")
     names = docs.columns
     base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.hash(F.col(f"`{text_col}`")).alias("__row"))
     seeds = ws.save(

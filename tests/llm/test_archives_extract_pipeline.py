@@ -64,6 +64,7 @@ def test_main_text_of_messy_pages():
     assert text("<article><p>a<script>var t='</p>'</script>b<style>p{}</style><!-- <p>no</p> -->c</p></article>") == "abc"
     assert text("<article>x<div class='ad box'>no</div><aside>no</aside><form>no</form><section id=comments>no</section>y</article>") == "x y"
     assert text("<div class=menu>m</div><p>only body</p><div class='cookie-notice'>n</div>") == "only body"
+    assert text("<article>a<div id=sidebar2>no</div><div class=siteFooter>no</div><ol class=commentlist><li>no</ol>b</article>") == "a b"
     assert text("<main><p>m</p></main><p>out</p>") == "m"
     assert text("<article><p>cut off <b>here") == "cut off here"
     assert text("<article>a < b and 1<2 &lt;p&gt; &#233; &bogus; <a title='x > y'>l</a></article>") == "a < b and 1<2 <p> é &bogus; l"
@@ -77,7 +78,7 @@ def test_templates_of_a_host_go_and_shared_paragraphs_stay(spark):
     box = "<div><p>Subscribe for more</p></div>"
     rows = [(i, f"http://h.xx/{i}", f"<article><p>shared line</p><p>own {i}</p>{box}</article>") for i in range(12)]
     rows += [(100, "http://other.xx/", f"<article><p>a</p>{box}</article>"), (101, None, None), (102, "http://h.xx/", "")]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string").repartition(3)
+    df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, Main_Text string").repartition(3)
     got = {r.page_id: r.main_text for r in extract.extract_main_text(df).collect()}
     assert got == {i: f"shared line own {i}" for i in range(12)} | {100: "a Subscribe for more", 101: "", 102: ""}
     assert extract.extract_main_text(df.where("false")).count() == 0

@@ -106,7 +106,7 @@ def test_rolling_hashes_depend_on_their_words_only():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup_equals_brute_force(spark, seed):
     rows = texts(seed)
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_chars string").repartition(3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string").repartition(3)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(df).collect())
     assert got == sorted((str(i), n, g, k) for i, n, g, k in brute_repeats(rows))
 
