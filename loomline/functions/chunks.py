@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let, token_set
+
 
 def sentences(c: Column) -> Column:
     """Rule sentences: split after . ! ? and white space, trimmed, without empty ones (CHK-01)."""
@@ -33,27 +35,32 @@ def starts(n: Column, step: int) -> Column:
 
 def fixed_chunks(tokens: Column, size: int) -> Column:
     """Runs of ``size`` tokens, joined (CHK-06)."""
-    return F.transform(starts(F.size(tokens), size), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(size)), " "))
+    return let(lambda t: F.transform(starts(F.size(t), size), lambda i: F.array_join(F.slice(t, i + 1, F.lit(size)), " ")), tokens)
 
 
 def sliding_windows(sents: Column, size: int, stride: int) -> Column:
     """Windows of sentences; the first that reaches the end is the last (CHK-04)."""
-    n = F.size(sents)
-    used = F.filter(starts(n, stride), lambda i: (i == 0) | (i - stride + size < n))
-    return F.transform(used, lambda i: F.array_join(F.slice(sents, i + 1, F.lit(size)), " "))
+
+    def windows(s: Column) -> Column:
+        n = F.size(s)
+        used = F.filter(starts(n, stride), lambda i: (i == 0) | (i - stride + size < n))
+        return F.transform(used, lambda i: F.array_join(F.slice(s, i + 1, F.lit(size)), " "))
+
+    return let(windows, sents)
 
 
 def wrapped_windows(c: Column, size: int = 100) -> Column:
     """Windows of ``size`` words; the last is filled up from the text's start (CHK-05)."""
-    w = words(c)
-    n = F.size(w)
 
-    def window(i: Column) -> Column:
-        part = F.slice(w, i + 1, F.lit(size))
-        fill = F.when(n > size, F.slice(w, F.lit(1), F.lit(size) - F.size(part))).otherwise(F.array().cast("array<string>"))
-        return F.array_join(F.concat(part, fill), " ")
+    def windows(w: Column) -> Column:
+        def window(i: Column) -> Column:
+            part = F.slice(w, i + 1, F.lit(size))
+            fill = F.when(F.size(w) > size, F.slice(w, F.lit(1), F.lit(size) - F.size(part))).otherwise(F.array().cast("array<string>"))
+            return F.array_join(F.concat(part, fill), " ")
 
-    return F.transform(starts(n, size), window)
+        return F.transform(starts(F.size(w), size), window)
+
+    return let(windows, words(c))
 
 
 def pack_sentences(sents: Column, most: int = 100, count: Callable[[Column], Column] = word_count, skip_empty: bool = False) -> Column:
@@ -85,22 +92,21 @@ def with_chunk_ids(df: DataFrame, id_col: str, chunks: Column, keep: list[str] =
 
 def snippet_context(text: Column, snippet: Column, around: int = 100, head: int = 50_000, least: float = 0.2) -> Column:
     """Text around the sentence most like the snippet by word-set F1, else the text's head (CHK-09)."""
-    from .text import token_set
-
-    part = F.left(text, F.lit(head))
-    query = token_set(snippet)
-
-    def f1(s: Column) -> Column:
-        t = token_set(s)
-        common = F.size(F.array_intersect(t, query))
-        return F.when(common == 0, F.lit(0.0)).otherwise(2.0 * common / (F.size(t) + F.size(query)))
-
-    scored = F.transform(sentences(part), lambda s, i: F.struct(f1(s).alias("f1"), (-i).alias("first"), s.alias("s")))
-    best = F.array_max(scored)
-    at = F.call_function("instr", part, best["s"])
-    begin = F.greatest(F.lit(1), at - around)
-    found = F.substr(part, begin, F.length(best["s"]) + around + (at - begin))
-    return F.when(best["f1"] > least, found).otherwise(F.left(text, F.lit(2 * around)))
+
+    def around_best(part: Column, query: Column) -> Column:
+        def f1(t: Column) -> Column:
+            common = F.size(F.array_intersect(t, query))
+            return F.when(common == 0, F.lit(0.0)).otherwise(2.0 * common / (F.size(t) + F.size(query)))
+
+        scored = F.transform(sentences(part), lambda s, i: F.struct(let(f1, token_set(s)).alias("f1"), (-i).alias("first"), s.alias("s")))
+
+        def cut(best: Column, at: Column) -> Column:
+            begin = F.greatest(F.lit(1), at - around)
+            return F.when(best["f1"] > least, F.substr(part, begin, F.length(best["s"]) + around + (at - begin)))
+
+        return let(lambda best: let(cut, best, F.call_function("instr", part, best["s"])), F.array_max(scored))
+
+    return F.coalesce(let(around_best, F.left(text, F.lit(head)), token_set(snippet)), F.left(text, F.lit(2 * around)))
 
 
 def backing_chunks(tokens: Column, most: int, ends: Column) -> Column:

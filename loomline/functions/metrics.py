@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import normalize_answer
+from .text import let, normalize_answer
 
 
 def norm_tokens(c: Column) -> Column:
@@ -16,7 +16,7 @@ def norm_tokens(c: Column) -> Column:
 
 def exact_match(pred: Column, golds: Column) -> Column:
     """1 if the normalised prediction equals any gold (MET-01)."""
-    return F.exists(golds, lambda g: normalize_answer(g) == normalize_answer(pred)).cast("int")
+    return let(lambda p, all_: F.exists(all_, lambda g: normalize_answer(g) == p), normalize_answer(pred), golds).cast("int")
 
 
 def regex_match(pred: Column, pattern: Column) -> Column:
@@ -25,38 +25,34 @@ def regex_match(pred: Column, pattern: Column) -> Column:
 
 def contains_match(pred: Column, golds: Column) -> Column:
     """1 if the normalised prediction contains any gold (MET-02)."""
-    return F.exists(golds, lambda g: F.contains(normalize_answer(pred), normalize_answer(g))).cast("int")
+    return let(lambda p, all_: F.exists(all_, lambda g: F.contains(p, normalize_answer(g))), normalize_answer(pred), golds).cast("int")
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
-    common = F.array_intersect(a, b)
     count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    return F.aggregate(common, F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+    return let(lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, w: acc + F.least(count(x, w), count(y, w))), a, b)
 
 
 def token_scores(pred: Column, gold: Column) -> Column:
     """Struct (f1, precision, recall) of normalised tokens; yes/no/noanswer must be equal to score (MET-03)."""
-    p, g = norm_tokens(pred), norm_tokens(gold)
-    same = overlap(p, g).cast("double")
     special = F.array(*(F.lit(x) for x in ("yes", "no", "noanswer")))
-    np_, ng = normalize_answer(pred), normalize_answer(gold)
-    barred = (F.array_contains(special, np_) | F.array_contains(special, ng)) & (np_ != ng)
-    none = barred | (same == 0)
-    zero = F.lit(0.0)
-    precision, recall = same / F.size(p), same / F.size(g)
-    return F.struct(
-        F.when(none, zero).otherwise(2 * precision * recall / (precision + recall)).alias("f1"),
-        F.when(none, zero).otherwise(precision).alias("precision"),
-        F.when(none, zero).otherwise(recall).alias("recall"),
-    )
+
+    def scores(same: Column, p: Column, g: Column, np_: Column, ng: Column) -> Column:
+        none = ((F.array_contains(special, np_) | F.array_contains(special, ng)) & (np_ != ng)) | (same == 0)
+        precision, recall = same / F.nullif(F.size(p), F.lit(0)), same / F.nullif(F.size(g), F.lit(0))
+        f1 = 2 * same / F.nullif(F.size(p) + F.size(g), F.lit(0))
+        return F.struct(*(F.when(none, F.lit(0.0)).otherwise(v).alias(k) for k, v in (("f1", f1), ("precision", precision), ("recall", recall))))
+
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    texts = lambda np_, ng: let(lambda p, g: let(lambda same: scores(same, p, g, np_, ng), overlap(p, g).cast("double")), split(np_), split(ng))
+    return let(texts, normalize_answer(pred), normalize_answer(gold))
 
 
 def best_token_scores(pred: Column, golds: Column) -> Column:
     """Maxima over golds, taken independently of each other."""
-    each = F.transform(golds, lambda g: token_scores(pred, g))
-    top = lambda k: F.coalesce(F.array_max(F.transform(each, lambda s: s[k])), F.lit(0.0)).alias(k)
-    return F.struct(top("f1"), top("precision"), top("recall"))
+    top = lambda each, k: F.coalesce(F.array_max(F.transform(each, lambda s: s[k])), F.lit(0.0)).alias(k)
+    return let(lambda each: F.struct(top(each, "f1"), top(each, "precision"), top(each, "recall")), F.transform(golds, lambda g: token_scores(pred, g)))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -82,37 +78,42 @@ def bleu_tokens(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    def grams(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+    return let(grams, tokens)
 
 
 def rouge_n(pred: Column, gold: Column, n: int) -> Column:
     """F score of n-gram overlap (MET-06)."""
-    p, g = ngrams(pred, n), ngrams(gold, n)
-    same = overlap(p, g).cast("double")
-    return F.when((F.size(p) == 0) | (F.size(g) == 0) | (same == 0), 0.0).otherwise(2 * same / (F.size(p) + F.size(g)))
+    score = lambda same, p, g: F.when(same == 0, 0.0).otherwise(2 * same / (F.size(p) + F.size(g)))
+    return let(lambda p, g: let(lambda same: score(same, p, g), overlap(p, g).cast("double")), ngrams(pred, n), ngrams(gold, n))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, one table row at a time."""
-    first = F.transform(b, lambda _: F.lit(0))
 
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            diag = F.when(j == 0, 0).otherwise(F.coalesce(F.get(prev, j - 1), F.lit(0)))
-            left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-            value = F.when(F.get(b, j) == x, diag + 1).otherwise(F.greatest(F.get(prev, j), left))
-            return F.concat(acc, F.array(value))
+    def table(x: Column, y: Column) -> Column:
+        at = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def row(prev: Column, w: Column) -> Column:
+            def cell(acc: Column, j: Column) -> Column:
+                diag = F.when(j == 0, 0).otherwise(F.coalesce(F.get(prev, j - 1), F.lit(0)))
+                left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+                value = F.when(F.get(y, j) == w, diag + 1).otherwise(F.greatest(F.get(prev, j), left))
+                return F.concat(acc, F.array(value))
+
+            return F.aggregate(at, F.array().cast("array<int>"), cell)
 
-        at = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(at, F.array().cast("array<int>"), cell)
+        return F.aggregate(x, F.transform(y, lambda _: F.lit(0)), row, lambda last: F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(0)))
 
-    return F.aggregate(a, first, row, lambda last: F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(0)))
+    return let(table, a, b)
 
 
 def rouge_l(pred: Column, gold: Column) -> Column:
-    same = lcs_length(pred, gold).cast("double")
-    return F.when(same == 0, 0.0).otherwise(2 * same / (F.size(pred) + F.size(gold)))
+    score = lambda same, p, g: F.when(same == 0, 0.0).otherwise(2 * same / (F.size(p) + F.size(g)))
+    return let(lambda p, g: let(lambda same: score(same, p, g), lcs_length(p, g).cast("double")), pred, gold)
 
 
 def judge_score(c: Column, mark: str = "[[") -> Column:

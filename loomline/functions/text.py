@@ -26,6 +26,13 @@ def quote(literal: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in literal)
 
 
+def let(f, *cols: Column) -> Column:
+    """f of the columns' values, each computed once for a row; inside lambdas a column is otherwise computed
+    anew for every element."""
+    bound = F.array(F.struct(*(c.alias(f"v{i}") for i, c in enumerate(cols))))
+    return F.get(F.transform(bound, lambda v: f(*(v[f"v{i}"] for i in range(len(cols))))), F.lit(0))
+
+
 def chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
     """Ordered (pattern, replacement) substitutions."""
     for pattern, replacement in steps:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from .ids import checkpointed
 
 
@@ -54,8 +54,8 @@ def l2(a: Column, b: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit length; zero vectors stay (RET-05)."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return let(lambda a, n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))), v, length)
 
 
 def similarity(metric: str, a: Column, b: Column) -> Column:
@@ -193,8 +193,8 @@ def linearize(kind: Column, text: Column, columns: Column, rows: Column, info: C
 def hash_embedding(c: Column, dim: int = 64) -> Column:
     """Deterministic feature-hashed term vector of unit length: the offline encoder (RET-04)."""
     at = F.transform(tokens(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    return normalize(counts)
+    count = lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double"))
+    return let(normalize, let(count, at))
 
 
 def iterate(queries: DataFrame, search: Callable[[DataFrame], DataFrame], extend: Callable[[DataFrame, DataFrame], DataFrame], turns: int) -> DataFrame:
