@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    at: dict[str, int] = {}
+def lcs(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence of texts or token lists, bit-parallel."""
+    at: dict = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1

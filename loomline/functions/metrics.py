@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .fuzzy import lcs
 from .text import let, normalize_answer
 
 
@@ -116,6 +119,18 @@ def rouge_l(pred: Column, gold: Column) -> Column:
     return let(lambda p, g: let(lambda same: score(same, p, g), lcs_length(p, g).cast("double")), pred, gold)
 
 
+@F.pandas_udf(T.DoubleType())
+def rouge_l_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    """As rouge_l, for long texts of normalised tokens joined by spaces."""
+
+    def score(p: str, g: str) -> float:
+        a, b = (p or "").split(), (g or "").split()
+        same = lcs(a, b)
+        return 2.0 * same / (len(a) + len(b)) if same else 0.0
+
+    return pd.Series([score(p, g) for p, g in zip(pred, gold, strict=True)], dtype="float64")
+
+
 def judge_score(c: Column, mark: str = "[[") -> Column:
     """First number after the mark (MET-07)."""
     return F.nullif(F.regexp_extract(F.substring_index(c, mark, -1), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
@@ -157,6 +172,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "rouge-1": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_n(norm_tokens(p), norm_tokens(x), 1))),
     "rouge-2": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_n(norm_tokens(p), norm_tokens(x), 2))),
     "rouge-l": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_l(norm_tokens(p), norm_tokens(x)))),
+    "rouge-l-long": lambda p, g: rouge_l_udf(normalize_answer(p), normalize_answer(F.get(g, F.lit(0)))),  # of the first gold
 }
 
 

@@ -37,12 +37,12 @@ IP = "round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4)
 
 
 def vector_sql(score: str, k: int, where: str = "a.vec_id <> b.vec_id") -> str:
-    return f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {score} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND {where})) WHERE rank <= {k}"
+    return f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {score} AS score FROM embeddings a, embeddings b WHERE {where})) WHERE rank <= {k}"
 
 
 def dense(spark, d, k, metric):
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = e.select(F.col("vec_id").alias("query_id"), "embedding")
     return R.dense_top_k(e, asked, k, metric=metric, exclude_self=True)
 
 
@@ -75,7 +75,7 @@ def _(spark, d):
 @query("nn_blocked_by_label", f"SELECT query_id, doc_id, score, rank FROM ({vector_sql(IP, 1, 'a.vec_id <> b.vec_id AND a.label = b.label')}) WHERE score >= 0.2")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    a = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     b = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x"), "label")
     scored = a.join(b, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.round(R.dot(F.col("q"), F.col("x")), 4).alias("score"))
     return R.top_k(scored, 1).where("score >= 0.2")
@@ -88,13 +88,13 @@ def _(spark, d):
 
 
 LISTS = f"""(SELECT query_id, doc_id, score, 'bm25' AS source, 0 AS i FROM ({BM25}8) UNION ALL
-SELECT item_id, doc_id, length(text)::DOUBLE, 'length', 1 FROM (SELECT item_id, d.doc_id, d.text, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text) DESC, d.doc_id) AS r FROM benchmark, documents d WHERE d.doc_id % 100 = item_id) WHERE r <= 8)"""
+SELECT item_id, doc_id, length(text)::DOUBLE, 'length', 1 FROM (SELECT item_id, d.doc_id, d.text, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text) DESC, d.doc_id) AS r FROM benchmark, documents d WHERE d.source = 'src' || (item_id % 20)) WHERE r <= 8)"""
 
 
 def lists(spark, d):
-    q = table(spark, d, "benchmark").select("item_id")
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("double").alias("score"), (F.col("doc_id") % 100).alias("item_id"))
-    longest = R.top_k(docs.join(q, "item_id").withColumnRenamed("item_id", "query_id"), 8)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("double").alias("score"), "source")
+    longest = R.top_k(docs.join(q, "source").drop("source"), 8)
     return {"bm25": bm25(spark, d, 8), "length": longest}
 
 
@@ -280,10 +280,10 @@ def _(spark, d):
     return L.differing(a, b, "o_orderkey", "v").select("o_orderkey")
 
 
-@query("nearest_exemplars", f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, {IP} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)) WHERE rank <= 3")
+@query("nearest_exemplars", f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, {IP} AS score FROM embeddings a, embeddings b WHERE a.label = 0)) WHERE rank <= 3")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return R.dense_top_k(e.where("vec_id < 20"), e.select(F.col("vec_id").alias("query_id"), "embedding"), 3)
+    return R.dense_top_k(e.where("label = 0"), e.select(F.col("vec_id").alias("query_id"), "embedding"), 3)
 
 
 @query("cache_merge", "SELECT c_custkey AS k, 'disk' AS v FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
@@ -298,9 +298,9 @@ def _(spark, d):
     return p.groupBy("host").agg(F.min("page_id").alias("first_page"), (F.count_distinct("page_id") > 1).alias("conflict"))
 
 
-@query("merge_titles", "SELECT source AS title, md5(string_agg(left(text, 50), ' ' ORDER BY doc_id)) AS v FROM documents GROUP BY source")
+@query("merge_titles", "SELECT source AS title, md5(string_agg(text, ' ' ORDER BY doc_id)) AS v FROM documents GROUP BY source")
 def _(spark, d):
     from ..sources.readers import merge_duplicate_titles
 
-    docs = table(spark, d, "documents").select(F.col("source").alias("title"), F.left("text", F.lit(50)).alias("text"), "doc_id")
+    docs = table(spark, d, "documents").select(F.col("source").alias("title"), "text", "doc_id")
     return merge_duplicate_titles(docs, "title", "text", "doc_id").select("title", F.md5("text").alias("v"))

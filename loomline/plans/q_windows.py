@@ -133,12 +133,17 @@ def _(spark, d):
     return M.report(M.evaluate(answers(spark, d).withColumn("golds", F.array("gold")), ["em", "acc"]), ["em", "acc"])
 
 
-HITS = "(SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text) DESC, d.doc_id) AS rank, contains(d.text, split_part(b.text, ' ', 1)) AS hit FROM benchmark b JOIN documents d ON d.doc_id % 100 = b.item_id)"
+HITS = "(SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text) DESC, d.doc_id) AS rank, contains(d.text, split_part(b.text, ' ', 1)) AS hit FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20))"
+
+
+def item_source():
+    """The source whose documents an item is asked of."""
+    return F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")
 
 
 def hits(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("gold"))
-    x = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 100).alias("item_id")).join(b, "item_id")
+    b = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("gold"), item_source())
+    x = table(spark, d, "documents").select("doc_id", "text", "source").join(b, "source")
     w = Window.partitionBy("item_id").orderBy(F.desc(F.length("text")), "doc_id")
     return x.select("item_id", F.row_number().over(w).alias("rank"), F.contains("text", "gold").alias("hit"))
 
@@ -155,8 +160,8 @@ def _(spark, d):
 
 @query("metric_rouge")
 def _(spark, d):
-    a = answers(spark, d).withColumn("pred", F.left("pred", F.lit(200))).withColumn("golds", F.array(F.left("gold", F.lit(200))))
-    return M.evaluate(a, ["rouge-1", "rouge-2", "rouge-l"]).select("conv_id", "turn", "rouge-1", "rouge-2", "rouge-l")
+    a = answers(spark, d).withColumn("golds", F.array("gold"))
+    return M.evaluate(a, ["rouge-1", "rouge-2", "rouge-l-long"]).select("conv_id", "turn", "rouge-1", "rouge-2", F.col("rouge-l-long").alias("rouge-l"))
 
 
 @query("metric_judge_parse", "SELECT doc_id, (quality * 3 + 1)::DOUBLE AS score FROM labels")
@@ -184,10 +189,9 @@ def _(spark, d):
     return M.corpus_bleu(answers(spark, d).select(M.bleu_tokens(F.col("pred")).alias("pred"), M.bleu_tokens(F.col("gold")).alias("gold")))
 
 
-@query("metric_bleu_tokens", r"SELECT conv_id, turn, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '([\{-~\[-` -&\(-\+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda w: w <> '')) AS n FROM conversations WHERE NOT contains(text, '&') AND NOT contains(text, '-' || chr(10))")
+@query("metric_bleu_tokens", r"""SELECT conv_id, turn, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '([\{-~\[-` -&\(-\+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda w: w <> '')) AS n FROM conversations""")
 def _(spark, d):
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("&")) & ~F.contains("text", F.lit("-\n")))
-    return c.select("conv_id", "turn", F.size(M.bleu_tokens(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(M.bleu_tokens(F.col("text"))).cast("long").alias("n"))
 
 
 @query("metric_gold_choices", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS gold FROM orders")
@@ -211,10 +215,10 @@ def _(spark, d):
 # Context
 
 
-@query("prompt_build", "SELECT item_id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || CASE WHEN instr(text, chr(10)) = 0 THEN '' ELSE substr(text, instr(text, chr(10)) + 1) END || chr(10), '' ORDER BY rank) AS v FROM (SELECT b.item_id, d.text, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 100 = b.item_id) WHERE rank <= 3 GROUP BY 1")
+@query("prompt_build", "SELECT item_id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || CASE WHEN instr(text, chr(10)) = 0 THEN '' ELSE substr(text, instr(text, chr(10)) + 1) END || chr(10), '' ORDER BY rank) AS v FROM (SELECT b.item_id, d.text, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20)) WHERE rank <= 3 GROUP BY 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 100).alias("item_id"))
-    x = docs.join(table(spark, d, "benchmark").select("item_id"), "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    x = docs.join(table(spark, d, "benchmark").select("item_id", item_source()), "source").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
     return x.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("docs")).select("item_id", X.reference_text(F.col("docs.text")).alias("v"))
 
 
