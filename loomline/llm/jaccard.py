@@ -37,7 +37,7 @@ WORDS = 5
 SHARED = 16  # K: shingles that two sets indexed by single shingles must share within their prefixes
 HEAD = 16  # least open keys of a set with combined keys, by which a pair of two such sets is met once
 COUNTERS_PER_DOC = 32
-COUNTER_BITS = 16, 24  # least and most; the latter takes 64 MB of a task's memory
+COUNTER_BITS = 16, 24  # least and most; the latter takes 32 MB of a task's memory
 BLOCK_BITS = 15
 STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000
@@ -67,18 +67,18 @@ def _node(s: np.ndarray) -> int:
 
 def _sets(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)  # of this task; they stop at 65,535
         for b in slices(batches, "__text"):
             sets = shingle_sets(b.column("__text"), words)
             if sets:
                 at, more = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-                counts[at] += more.astype(np.uint32)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + more, 65_535)
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), *none], ["id", "n", "node", "block", "counts"])
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        used = np.flatnonzero(blocks.any(axis=1))
-        none = [pa.nulls(len(used), pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["id", "n", "node", "block", "counts"])
+        none = [pa.nulls(1, pa.int64())] * 3
+        for i in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], ["id", "n", "node", "block", "counts"])
 
     return run
 
@@ -88,7 +88,7 @@ def _frequent(limit: int):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
-                add = np.frombuffer(counts.as_buffer(), np.uint32)
+                add = np.frombuffer(counts.as_buffer(), np.uint16)
                 total[block] = total[block] + add if block in total else add.astype(np.uint64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([np.packbits(v >= limit).tobytes() for v in total.values()], pa.binary())], ["block", "bits"]
