@@ -11,7 +11,7 @@ from loomline.session import get_session
 
 HEADLINE = [
     "bm25_top5", "vector_ip_top5", "fuse_rrf", "quota_select", "chunk_fixed_words", "chunk_pack_sentences", "chunk_sentences", "set_keep_first", "set_id_conflicts",
-    "jaccard_in_block", "contains_align", "agg_pass_at_k", "agg_grouped_and_overall", "context_budget", "metric_token_f1", "str_normalize_answer", "html_generic_page",
+    "contains_align", "agg_pass_at_k", "agg_grouped_and_overall", "context_budget", "metric_token_f1", "str_normalize_answer", "html_generic_page",
     "events_tumbling", "merge_datasets", "flow_retrieve_and_read",
 ]
 

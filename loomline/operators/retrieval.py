@@ -182,6 +182,24 @@ def jaccard_words(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
 
 
+def jaccard_pairs(docs: DataFrame, block: list[str], least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b, j) within a block whose word-set Jaccard reaches ``least`` (RET-14, JON-03).
+
+    Each text is split once; pairs whose set sizes rule the threshold out are dropped before any set is compared.
+    """
+    w = docs.select(F.col(id_col).alias("id"), *block, F.array_distinct(F.split(text_col, r"\s+")).alias("w"))
+    w = w.withColumn("n", F.size("w"))
+    l, r = w.alias("l"), w.alias("r")
+    same = F.lit(True)
+    for c in block:
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    fits = F.least("l.n", "r.n") >= F.lit(least) * F.greatest("l.n", "r.n")
+    pairs = l.join(r, same & (F.col("l.id") < F.col("r.id")) & fits)
+    common = F.size(F.array_intersect("l.w", "r.w"))
+    j = let(lambda c, a, b: c / (a + b - c), common, F.col("l.n"), F.col("r.n"))
+    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), j.alias("j")).where(F.col("j") >= least)
+
+
 def linearize(kind: Column, text: Column, columns: Column, rows: Column, info: Column, most: int = 2048) -> Column:
     """Text of a document for a pair scorer: a table as four columns and three rows, a card as six items (RET-11)."""
     head = F.array_join(F.slice(columns, F.lit(1), F.lit(4)), ", ")

@@ -138,11 +138,8 @@ def _(spark, d):
 
 @query("jaccard_in_block", "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 4) AS j FROM (SELECT doc_id, source, lang, list_distinct(regexp_split_to_array(text, '\\s+')) AS w FROM documents) a JOIN (SELECT doc_id, source, lang, list_distinct(regexp_split_to_array(text, '\\s+')) AS w FROM documents) b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.5")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    a, b = docs.alias("a"), docs.alias("b")
-    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    j = R.jaccard_words(F.col("a.text"), F.col("b.text"))
-    return pairs.where(j >= 0.5).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.round(j, 4).alias("j"))
+    found = R.jaccard_pairs(table(spark, d, "documents"), ["source", "lang"], 0.5)
+    return found.select("a", "b", F.round("j", 4).alias("j"))
 
 
 @query("linearize_documents", "SELECT o_orderkey, left('key, price; ' || o_orderkey || ' | ' || o_orderstatus, 2048) AS v FROM orders")
