@@ -60,10 +60,7 @@ def _(spark, d):
 
 @query("compression_rank")
 def _(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
-    items = items.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    s = items.join(table(spark, d, "documents").select("doc_id", "text", "source"), "source").select(F.col("item_id").alias("query_id"), "doc_id", (-F.round(Z.pair_udf(Z.compression_distance)("a", "text"), 6)).alias("score"))
-    return R.top_k(s, 3)
+    return R.compression_top_k(table(spark, d, "documents"), asked(spark, d), 3)
 
 
 @query("reasoning_step_merge")

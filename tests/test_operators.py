@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomline.functions import chunks, fuzzy, html, metrics, reasoning, text
 from loomline.hooks import extractive_generator
 from loomline.operators import dedupe, ids, lookup, retrieval, windows
-from loomline.plans import flows
+from loomline.plans import catalogue, flows
 from loomline.sources import readers, sinks
 
 WIKI = """<html><body><div class="mw-parser-output"><p>Intro<sup>[1]</sup> text.</p><h2>Life</h2><ul><li>a<ul><li>b</li></ul></li></ul>
@@ -215,3 +215,22 @@ def test_stream_equals_batch(spark, tmp_path):
         assert {tuple(r) for r in spark.table("tumbling").collect()} == {tuple(r) for r in events.tumbling(e).collect()}
     finally:
         q.stop()
+
+
+def test_compression_rank_meets_every_document(spark, tmp_path):
+    """The nearest documents of an item, whatever their source; blocks and tasks make no difference."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=80)) for _ in range(40)]
+    items = [(i, texts[3 * i][:60]) for i in range(6)]
+    docs = [(i, t, "elsewhere") for i, t in enumerate(texts)]
+    spark.createDataFrame([*docs, (99, None, "src0")], "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in catalogue.queries()["compression_rank"](spark, str(tmp_path)).collect()}
+    want = {}
+    for q, t in items:
+        best = sorted((round(fuzzy.compression_distance(t, x), 6), d) for d, x, _ in docs)[:3]
+        want |= {(q, n + 1): (d, -s) for n, (s, d) in enumerate(best)}
+    assert got == want and all(got[q, 1][0] == 3 * q for q, _ in items)
+    queries = spark.createDataFrame(items, "query_id long, query string")
+    small = retrieval.compression_top_k(spark.createDataFrame(docs, "doc_id long, text string, source string"), queries, 3, block=2)
+    assert {(r.query_id, r.rank): (r.doc_id, r.score) for r in small.collect()} == want
