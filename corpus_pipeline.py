@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 token ids."""
-    return pack(docs, byte_bpe_path())
+    return pack(docs, byte_bpe_path(), added_tokens=True)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from loomline.llm import language, neighbours, packing
 
 ODD = ["", None, " ", "a", "don't I'll", "\x1c\x1d x\x85y", "é" * 3000, "word " * 5000, "<|endoftext|> x", "日本 ²½ ٣", "\n\n  \t a"]
@@ -22,6 +23,28 @@ def test_ids_equal_those_of_the_tokenizers_library():
         assert encode.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_those_of_the_tokenizers_library():
+    path = packing.byte_bpe_path()
+    encode, tokenizer = packing.Encoder(path, added_tokens=True), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "a", "don't ", "\n", "é", "日本"]
+    for text in [*(x or "" for x in ODD), *("".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(500))]:
+        assert encode.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode.ids("<|endoftext|> x").tolist() == [50256, 2124] and encode.size == 50257
+
+
+def test_op1_and_pipeline_read_added_tokens(spark, tmp_path):
+    rows = [(1, "plain words"), (2, "<|endoftext|> x"), (3, "a<|endoftext|>b <|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    for out in (packing.op1_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        got = {r.doc_id: r for r in out.collect()}
+        for i, t in rows:
+            ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+            assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 @pytest.mark.parametrize("window", [16, 1024])
 def test_each_id_lies_in_one_piece_and_windows_are_full(spark, window):
     rng = random.Random(2)
