@@ -1,22 +1,21 @@
 """Main text of HTML pages, with site template removal.
 
 Pages are parsed into element trees (unclosed and stray tags follow the HTML rules for paragraphs and list
-items). Each container element's subtree is hashed (names, classes, texts and children); Spark counts the
-pages of a host on which each hash stands, and subtrees on many pages of their host (``least_pages`` at
-least, and ``least_share`` of its pages) are site template and go. Elements whose name, class, id or role
+items). The subtree of each container, list and table is hashed (names, classes, texts and children); Spark
+counts the different pages of a host on which each hash stands, and subtrees on ``least_pages`` of them or
+more are site template and go, however many pages the host has. Elements whose name, class, id or role
 says menu, header, footer, sidebar, notice, advert, form, script, style or reader comment go too. Paragraphs
 and headings of the article itself are never judged by their count, so text that articles share stays. The
 text is what is left of the page's articles (or its main element, or else its body): character references
 decoded, white space inside a block as one space, blocks joined by one space.
 
-Null and empty pages have an empty text; null URLs share the empty host. Repeated rows count as pages of
-their own; cut-off pages are read as far as they go. Other columns pass through.
+Null and empty pages have an empty text; null URLs share the empty host. Exact copies of a page on its host
+count once, so copying a page makes no template of its content; cut-off pages are read as far as they go. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,17 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, broadcast_if_small, without
+from .shared import Workspace, is_small, without
 from .text import slices
 from .urls import host_of
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
-HOSTS_BROADCAST = 10_000
+LEAST_PAGES = 5
+TEMPLATES_AT_ONCE = 1 << 20  # 8 MB for each task; beyond it pages are joined to what their templates are
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("div section aside nav header footer form fieldset figure details dialog menu".split())
+COUNTED = CONTAINERS | set("ul ol dl table".split())
 DROPPED = set("script style noscript template nav header footer aside form fieldset button input select textarea iframe svg canvas object embed dialog menu head title xmp noembed noframes".split())
 UNSEEN = set("script style noscript template".split())
 SAYS_NO = set(
@@ -129,7 +129,7 @@ def _end(stack: list[Element], tags: tuple[str, ...], scope: tuple[str, ...] | s
 
 
 def hash_subtrees(e: Element) -> list[int]:
-    """Hashes of the container subtrees under e, which are noted on the elements."""
+    """Hashes of the container, list and table subtrees under e, which are noted on the elements."""
     found: list[int] = []
     todo, order = [e], []
     while todo:  # without recursion: pages may nest deeply
@@ -141,7 +141,7 @@ def hash_subtrees(e: Element) -> list[int]:
         for c in x.children:
             h.update(" ".join(c.split()) + "\x00" if isinstance(c, str) else f"\x01{c.key}")
         x.key = h.intdigest()
-        if x.tag in CONTAINERS:
+        if x.tag in COUNTED:
             found.append(x.key)
     return found
 
@@ -180,7 +180,7 @@ def main_text(tree: Element, template: set[int]) -> str:
                 run.append(x)
             elif x.tag == "br":
                 run.append("\n")
-            elif x.dropped or template and x is not root and x.tag in CONTAINERS and x.key in template:
+            elif x.dropped or template and x is not root and x.tag in COUNTED and x.key in template:
                 if x.tag not in INLINE and x.tag not in UNSEEN:  # what goes still parts the blocks around it
                     close()
             else:
@@ -192,49 +192,58 @@ def main_text(tree: Element, template: set[int]) -> str:
     return " ".join(blocks)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_host(host: str | None, keys: list[int]) -> np.ndarray:
+    """Subtree hashes that hold for one host alone."""
+    return (np.array(keys, np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(host or ""))).view(np.int64)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "html"):
-        seen: Counter = Counter()
-        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            seen[host, None] += 1
-            seen.update((host, k) for k in set(hash_subtrees(parse(html or ""))))
-        keys = np.array([k or 0 for _, k in seen], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array(keys), pa.array([k is None for _, k in seen]), pa.array(list(seen.values()), pa.int64())], ["host", "subtree", "page", "n"])
+        keys = [_of_host(host, sorted(set(hash_subtrees(parse(html or ""))))) for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("page"), pa.array(keys, pa.list_(pa.int64()))], ["page", "subtrees"])
 
 
-def _extract(names: list[str]):
+def _extract(names: list[str], everywhere: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__html"):
-            out, sets = [], {}
-            for host, html, template in zip(b.column("__host").to_pylist(), b.column("__html").to_pylist(), b.column("template"), strict=True):
-                if host not in sets:
-                    sets[host] = set(np.array(template.as_py() or [], np.int64).view(np.uint64).tolist())
-                tree = parse(html or "")
-                if sets[host]:
-                    hash_subtrees(tree)
-                out.append(main_text(tree, sets[host]))
+            out = []
+            for i, (host, html) in enumerate(zip(b.column("__host").to_pylist(), b.column("__html").to_pylist(), strict=True)):
+                known = np.array(b.column("__template")[i].as_py() or [], np.int64) if everywhere is None else everywhere
+                tree, template = parse(html or ""), set()
+                if len(known) and (keys := hash_subtrees(tree)):
+                    mine = _of_host(host, keys)
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    template = {k for k, t in zip(keys, known[at] == mine, strict=True) if t}
+                out.append(main_text(tree, template))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.string())], [*names, "main_text"])
 
     return run
 
 
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, ws: Workspace | None = None) -> DataFrame:
-    """All rows of pages with main_text, which replaces a column of this name."""
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, ws: Workspace | None = None) -> DataFrame:
+    """All rows of pages with main_text, which replaces a column of this name.
+
+    Template hashes hold for their host alone. Up to TEMPLATES_AT_ONCE of them go to every task; of more, each
+    page gets its own by a join, so what a row carries is bounded by its page and not by its host.
+    """
     ws = ws or Workspace(pages.sparkSession)
     pages = without(pages, "main_text")
     names = pages.columns
-    host = host_of(F.coalesce(F.col(f"`{url_col}`"), F.lit("")))
-    base = pages.select(*(F.col(f"`{c}`") for c in names), host.alias("__host"), F.col(f"`{html_col}`").alias("__html"))
-    counted = base.select(F.col("__host").alias("host"), F.col("__html").alias("html")).mapInArrow(_count, "host string, subtree long, page boolean, n long")
-    counted = counted.groupBy("host", "subtree", "page").agg(F.sum("n").alias("n"))
-    counted = ws.save(counted.where(F.col("page") | (F.col("n") >= least_pages)), "subtrees")
-    of_host = counted.where("page").select("host", F.col("n").alias("pages"))
-    # at least so great a share of a host's pages: their number is bounded by what a page holds, times 1 / share
-    template = counted.where("NOT page").join(of_host, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages"))
-    template = ws.save(template.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
-    joined = base.join(broadcast_if_small(template.withColumnRenamed("host", "__site"), HOSTS_BROADCAST), F.col("__host") == F.col("__site"), "left")
+    host, html = host_of(F.coalesce(F.col(f"`{url_col}`"), F.lit(""))), F.col(f"`{html_col}`")
+    base = pages.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(host, html).alias("__page"), host.alias("__host"), html.alias("__html"))
+    parsed = base.select(F.col("__page").alias("page"), F.col("__host").alias("host"), F.col("__html").alias("html")).mapInArrow(_subtrees, "page long, subtrees array<long>")
+    parsed = ws.save(parsed, "subtrees").dropDuplicates(["page"])
+    each = ws.save(parsed.select("page", F.explode("subtrees").alias("subtree")), "pages")
+    template = ws.save(each.groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("subtree"), "templates")
+    everywhere = None
+    if is_small(template, TEMPLATES_AT_ONCE):
+        everywhere = np.sort(np.array([r["subtree"] for r in template.collect()], np.int64))
+        base = base.withColumn("__template", F.lit(None).cast("array<long>"))
+    else:
+        marked = each.join(template, "subtree").groupBy(F.col("page").alias("__key")).agg(F.sort_array(F.collect_list("subtree")).alias("__template"))
+        base = base.join(ws.save(marked, "marked"), F.col("__page") == F.col("__key"), "left")
     schema = T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())])
-    return joined.select(*(F.col(f"`{c}`") for c in names), "__host", "__html", "template").mapInArrow(_extract(names), schema)
+    return base.select(*(F.col(f"`{c}`") for c in names), "__host", "__html", "__template").mapInArrow(_extract(names, everywhere), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

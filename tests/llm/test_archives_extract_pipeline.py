@@ -84,6 +84,18 @@ def test_templates_of_a_host_go_and_shared_paragraphs_stay(spark):
     assert extract.extract_main_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [extract.TEMPLATES_AT_ONCE, 0])
+def test_template_counts_do_not_scale_with_the_host(spark, monkeypatch, at_once):
+    """A block on a few pages of a large host goes, lists and tables too; copies of one page make no template."""
+    monkeypatch.setattr(extract, "TEMPLATES_AT_ONCE", at_once)
+    few = "<div><p>moved</p></div><ul><li>one<li>two</ul><table><tr><td>cell</table>"
+    rows = [(i, f"http://big.xx/{i}", f"<article><p>own {i}</p>{few if i < 6 else ''}</article>") for i in range(200)]
+    rows += [(1000 + i, f"http://big.xx/c{i}", "<article><p>copy</p><div>same</div></article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.main_text for r in extract.extract_main_text(df).collect()}
+    assert got == {i: f"own {i}" for i in range(200)} | {1000 + i: "copy same" for i in range(9)}
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices(["the", "ing", "er", "on", "le"], k=3))
