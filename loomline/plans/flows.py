@@ -53,9 +53,14 @@ def align_evidence(evidences: DataFrame, corpus: DataFrame, embed: Callable[[Col
     return found.select("ev_id", F.col("doc_id").cast("string").alias("doc_id"), "how").unionByName(new)
 
 
-def with_prompts(queries: DataFrame, ranked: DataFrame, docs: DataFrame, text_col: str = "text", max_chars: int = 2000) -> DataFrame:
+def up_to(text: Column, max_chars: int | None) -> Column:
+    """The whole text, or its first ``max_chars`` characters where a limit is given."""
+    return text if max_chars is None else F.left(text, F.lit(max_chars))
+
+
+def with_prompts(queries: DataFrame, ranked: DataFrame, docs: DataFrame, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
     """Queries with a prompt of their ranked documents; a fixed text where there are none."""
-    refs = ranked.join(docs.select("doc_id", F.left(F.col(text_col), F.lit(max_chars)).alias("__t")), "doc_id")
+    refs = ranked.join(docs.select("doc_id", up_to(F.col(text_col), max_chars).alias("__t")), "doc_id")
     each = refs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "__t"))).alias("__d"))
     context = F.array_join(F.transform("__d", lambda x, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(":\n"), x["__t"])), "\n\n")
     out = queries.join(each, "query_id", "left").withColumn("__c", F.coalesce(context, F.lit(NO_EVIDENCE)))
@@ -95,7 +100,7 @@ def loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], finished
     return out.unionByName(rest.withColumn("finish_reason", F.lit("turns"))) if out is not None else rest.withColumn("finish_reason", F.lit("turns"))
 
 
-def search_agent(queries: DataFrame, docs: DataFrame, retrieve: Retriever, ask: Callable[[Column], Column], limit: int = 3, turns: int = 4) -> DataFrame:
+def search_agent(queries: DataFrame, docs: DataFrame, retrieve: Retriever, ask: Callable[[Column], Column], limit: int = 3, turns: int = 4, max_chars: int | None = None) -> DataFrame:
     """Search loop with a limit and a repeat guard (PIP-06).
 
     ``ask`` gives a query's next search from its text so far, null to finish. Executed searches are kept in
@@ -108,7 +113,7 @@ def search_agent(queries: DataFrame, docs: DataFrame, retrieve: Retriever, ask:
         stop = F.col("next").isNull() | F.array_contains("executed", F.col("next")) | (F.size("executed") >= limit)
         asked = checkpointed(asked.withColumn("stop", F.coalesce(stop, F.lit(True))))
         found = retrieve(asked.where("NOT stop").select("query_id", F.col("next").alias("query"))).where("rank = 1")
-        first = found.join(docs.select("doc_id", F.left("text", F.lit(300)).alias("found")), "doc_id").select("query_id", "found")
+        first = found.join(docs.select("doc_id", up_to(F.col("text"), max_chars).alias("found")), "doc_id").select("query_id", "found")
         grown = asked.join(first, "query_id", "left")
         return grown.select(
             "query_id", "query",
@@ -120,12 +125,12 @@ def search_agent(queries: DataFrame, docs: DataFrame, retrieve: Retriever, ask:
     return loop(state, step, F.col("done"), turns)
 
 
-def branch_and_vote(queries: DataFrame, ranked: DataFrame, docs: DataFrame, generate: Generator) -> DataFrame:
+def branch_and_vote(queries: DataFrame, ranked: DataFrame, docs: DataFrame, generate: Generator, max_chars: int | None = None) -> DataFrame:
     """One prompt for each retrieved document; answers voted by retrieval score (PIP-08)."""
     from ..operators.aggregates import weighted_vote
     from ..operators.context import score_weights
 
-    each = score_weights(ranked, "query_id", "score").join(docs.select("doc_id", F.left("text", F.lit(1000)).alias("t")), "doc_id").join(queries, "query_id")
+    each = score_weights(ranked, "query_id", "score").join(docs.select("doc_id", up_to(F.col("text"), max_chars).alias("t")), "doc_id").join(queries, "query_id")
     asked = generate(each.withColumn("prompt", F.concat("t", F.lit("\n\n"), "query")))
     return weighted_vote(asked, "query_id", "answer", "weight")
 

@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query("flow_search_agent")
 def _(spark, d):
-    last_line = lambda t: F.left(F.try_element_at(F.split(t, "\n"), F.lit(-1)), F.lit(80))
+    last_line = lambda t: F.try_element_at(F.split(t, "\n"), F.lit(-1))
     return P.search_agent(asked(spark, d), table(spark, d, "documents"), searcher(spark, d), last_line, limit=2, turns=3).select("query_id", F.size("executed").alias("searches"), "turns", "finish_reason")
 
 

@@ -161,7 +161,7 @@ def _(spark, d):
 
     def extend(asked, found):
         first = found.where("rank = 1").select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-        return asked.join(first, "query_id").select("query_id", F.concat_ws(" ", "query", F.left("text", F.lit(200))).alias("query"))
+        return asked.join(first, "query_id").select("query_id", F.concat_ws(" ", "query", "text").alias("query"))
 
     return R.iterate(q, lambda asked: R.bm25(docs, asked, 3), extend, 2)
 

@@ -234,3 +234,23 @@ def test_compression_rank_meets_every_document(spark, tmp_path):
     queries = spark.createDataFrame(items, "query_id long, query string")
     small = retrieval.compression_top_k(spark.createDataFrame(docs, "doc_id long, text string, source string"), queries, 3, block=2)
     assert {(r.query_id, r.rank): (r.doc_id, r.score) for r in small.collect()} == want
+
+
+def test_found_texts_reach_the_next_step_whole(spark, tmp_path):
+    """What stands at the end of a long document counts in prompts, votes, the next search and the next turn."""
+    long = " ".join(["filler"] * 500)
+    docs = spark.createDataFrame([(1, f"start {long}\nlater clue"), (2, "clue found by the tail"), (3, "other")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "start")], "query_id long, query string")
+    search = lambda x: retrieval.bm25(docs, x, 3)
+    ranked = search(q)
+    assert "later clue" in flows.with_prompts(q, ranked, docs).first().prompt
+    assert "later clue" not in flows.with_prompts(q, ranked, docs, max_chars=20).first().prompt
+    told = lambda p: p.withColumn("answer", F.contains("prompt", F.lit("later clue")).cast("string"))
+    assert flows.branch_and_vote(q, ranked, docs, told).first().answer == "true"
+    last = lambda t: F.try_element_at(F.split(t, "\n"), F.lit(-1))
+    asked = flows.search_agent(q, docs, search, last, limit=2, turns=3).first()
+    assert asked.executed == ["start", "later clue"]
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "start")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in catalogue.queries()["iterative_retrieval"](spark, str(tmp_path)).collect()} == {1, 2}
