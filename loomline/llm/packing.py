@@ -6,7 +6,7 @@ that rest; its terms are token ids, of which there is a fixed number, so their d
 the whole corpus are one small table. Rests are ordered by their two strongest terms and dealt into ranges
 of about equal size, which also cuts up any hot term; each task streams through its range and builds a BM25
 inverted index for one shard of it after another. A seed (the rest of the piece cut last, else the next
-unused one) queries its shard; the unused neighbours fill the window, best first, ties and documents without
+unused one) queries its shard with all its terms; the unused neighbours fill the window, best first, ties and documents without
 a common term in range order. The last one is cut where the window is full. Windows stay open across
 shards, so only the last window of each task is short and needs padding.
 
@@ -33,7 +33,6 @@ WINDOW = 1024
 END_ID = 0
 SHARD = 1024  # rests in one inverted index
 TASK_TOKENS = 4 << 20
-QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 BLOCK = 4096
 
@@ -168,6 +167,9 @@ class _Packer:
         docs = np.repeat(np.arange(n), lens)
         order = np.argsort(terms, kind="stable")
         terms, docs, weights = terms[order], docs[order], weights[order]
+        starts = np.append(np.flatnonzero(np.append(True, terms[1:] != terms[:-1])), len(terms))
+        at_term = np.zeros(len(self.idf), np.int32)  # where each term's postings are
+        at_term[terms[starts[:-1]]] = np.arange(len(starts) - 1)
         unused, first = np.ones(n, bool), 0
         begin = None  # (rest, where it was cut)
         while True:
@@ -186,11 +188,11 @@ class _Packer:
                 continue
             if not self.filled:
                 continue
-            t, w = found[seed]
-            query = t[np.argsort(-w, kind="stable")[:QUERY_TERMS]]
-            score = np.zeros(n, np.float32)
-            for lo, hi in zip(np.searchsorted(terms, query), np.searchsorted(terms, query, "right"), strict=True):
-                score[docs[lo:hi]] += weights[lo:hi]
+            ranges = at_term[found[seed][0]]
+            lo, many = starts[ranges], starts[ranges + 1] - starts[ranges]
+            past = np.cumsum(many)
+            postings = np.repeat(lo - past + many, many) + np.arange(past[-1])
+            score = np.bincount(docs[postings], weights[postings], n)
             score[~unused] = -1
             while score[d := int(score.argmax())] >= 0:
                 unused[d], score[d] = False, -1

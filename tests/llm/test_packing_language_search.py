@@ -90,6 +90,16 @@ def test_neighbours_share_windows():
     assert windows[0] == [0, 3, 5] and windows[1][:2] == [1, 4]
 
 
+def test_every_term_of_a_seed_counts():
+    """The neighbour that shares many weak terms goes before those that share fewer strong ones."""
+    idf = np.r_[np.full(10, 2.0), np.full(190, 1.0)].astype(np.float32)
+    p = packing._Packer(80, idf, 40.0, "<u2")
+    seed, strong, other = np.arange(40), np.r_[0:3, 100:137], np.arange(150, 190)
+    weak = np.r_[10:40, 90:100]  # none of the seed's ten strongest terms
+    p.shard([(i, 0, 40) for i in range(4)], [x.astype("<u2") for x in (seed, strong, other, weak)])
+    assert [doc for doc, *_, sequence, _ in p.out if sequence == 0] == [0, 3]
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.byte_bpe_path()).count() == 0
 
