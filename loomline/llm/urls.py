@@ -80,8 +80,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of canonical links and refresh redirects; only pages with such a tag leave the JVM."""
-    has = pages.where("url IS NOT NULL").where(F.col("html").rlike(r"(?i)<link[^>]+canonical|<meta[^>]+refresh"))
+    """(src, dst) of canonical links and refresh redirects; only pages that may hold such a tag leave the JVM.
+
+    The word may stand anywhere, as attributes may hold a ``>``, and be written in character references.
+    """
+    low = F.lower("html")
+    may = lambda tag, word: F.contains(low, F.lit(tag)) & (F.contains(low, F.lit(word)) | F.contains(low, F.lit("&#")))
+    has = pages.where("url IS NOT NULL").where(may("<link", "canonical") | may("<meta", "refresh"))
     return has.select("url", "html").mapInArrow(_edges, "src string, dst string")
 
 

@@ -102,3 +102,15 @@ def test_decontamination_equals_brute_force(spark):
     assert kept == {d for d, _ in docs} - {w[0] for w in want}
     assert decontaminate.contaminated(df, it.where("false")).count() == 0
     assert decontaminate.contaminated(df.where("false"), it).count() == 0
+
+
+def test_page_edges_of_tags_that_quote_a_closing_sign(spark):
+    rows = [
+        ("http://a.xx/1", '<link title="a > b" rel="canonical" href="http://a.xx/2">'),
+        ("http://b.xx/1", '<META content="0; url=http://b.xx/?q=>1" http-equiv="Refresh">'),
+        ("http://c.xx/1", '<link rel="c&#97;nonical" href="/2">'),
+        ("http://d.xx/1", '<link rel="icon" href="/2"><p>canonical refresh</p>'),
+        ("http://e.xx/1", None),
+    ]
+    got = {(r.src, r.dst) for r in urls.page_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("http://a.xx/1", "http://a.xx/2"), ("http://b.xx/1", "http://b.xx/?q=>1"), ("http://c.xx/1", "http://c.xx/2")}
