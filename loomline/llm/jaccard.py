@@ -163,8 +163,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         frequent[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
 
     one = ws.save(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    copies = sets.where("n > 0").join(one, "node").where("id > rep").select(F.col("id").alias("__id")).distinct()
-    firsts = base.join(broadcast_if_small(ws.save(copies, "copies"), BROADCAST_ROWS), "__id", "left_anti")
+    # an id goes only if all its sets are copies; ids of several sets, or of empty and other texts, are kept aside
+    each = sets.where("n > 0").join(one, "node").select("id", "node", "n", (F.col("id") == F.col("rep")).alias("own"))
+    each = each.unionByName(sets.where("n = 0").select("id", F.lit(None).cast("long").alias("node"), "n", F.lit(False).alias("own")))
+    of_id = each.groupBy("id").agg(F.max("own").alias("own"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"))
+    of_id = ws.save(of_id.where("last IS NOT NULL AND (NOT own OR first < last OR least = 0)"), "ids")
+    same_id = sets.where("n > 0").join(of_id.where("first < last").select("id", "first"), "id").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same_id = ws.save(same_id.where("a <> b").distinct(), "same-id")
+    firsts = base.join(broadcast_if_small(of_id.where("NOT own").select(F.col("id").alias("__id")), BROADCAST_ROWS), "__id", "left_anti")
     keys = ws.save(firsts.select("__text").mapInArrow(_keys(bytes(frequent), words, bits), "key long, node long, n int, wide boolean, inner boolean"), "keys")
     shared = ws.save(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared-keys")
     near = Window.partitionBy("key").orderBy("n")  # a set stays under a key only with one of a size that it can link with
@@ -178,7 +184,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pick = broadcast_if_small(ws.save(pick.distinct(), "picked"), BROADCAST_ROWS)
     full = ws.save(base.join(pick, "__id", "left_semi").select("__text").mapInArrow(_full_sets(words), "node long, hashes binary"), "full-sets")
 
-    tested, labels, star, rounds = None, None, True, 0
+    tested, star, rounds = None, True, 0
+    labels = None if same_id.isEmpty() else components(ws, same_id)
     here = index.withColumn("comp", F.col("node"))
     while True:
         groups = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "comp", "wide"), F.xxhash64("comp", "node", F.lit(rounds))).alias("c")).where("lo < hi")
@@ -206,7 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         n_links = done.where("link").count()
         tested = done if tested is None else tested.union(done)
         if n_links:
-            labels = components(ws, tested.where("link").select("a", "b"))
+            labels = components(ws, tested.where("link").select("a", "b").union(same_id))
         rounds += 1
         if not star:
             break
@@ -222,7 +229,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_node = named.join(least, "c").select("node", "component_id")
     out = sets.join(of_node.select(F.col("node").alias("node"), "component_id"), "node", "left")
-    return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    alone = F.col("id")
+    if not (mixed := of_id.where("least = 0")).isEmpty():  # an empty text belongs to the other texts of its id
+        mixed = mixed.select("id", F.col("first").alias("node")).join(of_node, "node").select("id", F.col("component_id").alias("of_id"))
+        out, alone = out.join(mixed, "id", "left"), F.coalesce("of_id", "id")
+    return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(alone).alias("component_id"))
 
 
 def _able(index: DataFrame) -> DataFrame:

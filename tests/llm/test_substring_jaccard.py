@@ -147,3 +147,18 @@ def test_jaccard_keeps_one_of_each(spark):
     df = spark.createDataFrame([(1, t), (2, t), (3, None), (None, t), (4, "")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in jaccard.keep_one_of_each(df).collect()) == ["1", "3", "4", "None"]
     assert jaccard.jaccard_components(df.where("false")).count() == 0
+
+
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    """Id 5 copies id 3 and holds a text like that of id 9: all are one component, and so is its empty row."""
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b = " ".join(words("a", 40)), " ".join(words("b", 40))
+    near_a = " ".join([*words("a", 39), "z"])
+    near_b = " ".join([*words("b", 39), "z"])
+    rows = [(3, a), (5, a), (5, b), (5, ""), (9, near_b), (11, near_a), (12, " ".join(words("c", 40))), (13, ""), (14, "p q"), (14, "r s"), (15, "r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_components(df).collect()
+    assert len(got) == len(rows)
+    want = {3: 3, 5: 3, 9: 3, 11: 3, 12: 12, 13: 13, 14: 14, 15: 14}
+    assert {(r.id, r.component_id) for r in got} == set(want.items())
+    assert sorted({r.doc_id for r in jaccard.keep_one_of_each(df).collect()}) == [3, 12, 13, 14]
