@@ -1,23 +1,33 @@
 """N-gram Jaccard join over distinct word shingles, by token-combination prefixes.
 
 Each text becomes the set of its distinct 5-word shingles (64-bit hashes of the lower-cased words); texts
-with equal sets become one node. Shingles are ordered with the rare class first, the frequent class last,
-each by its hash. With m = floor(n / 4) the most shingles a set of n may lack in a partner at a similarity
-of 0.75, a set that has at least m + K rare shingles is indexed under its first m + K of them, single
-shingles (any partner shares K of them). A set with fewer is indexed under all its rare shingles, and its
-prefix is extended into the frequent class, where each two neighbours in the order make one combined key:
-at most n / 2 of these n - 1 combinations can be broken by what either set lacks, so one is shared. A
-shingle is frequent if its counter stands well above the mean; the counters cover all documents, and their
-number follows the number of documents up to a fixed bound. Of two sets the smaller one lacks at most n / 7,
-so its keys beyond the first n / 7 + K need not be paired.
-
-Candidates are verified by the exact size of the intersection. Copies within large groups are not paired
-with each other: in every key's group, each member of another component is compared with one centre, the
-links found are contracted, and this repeats while it links anything; the pairs across components that
-are left are then all compared, so no link between different texts is lost.
+with equal sets become one node. Two sets of n and n' link if their similarity is 0.75 or more, that is if
+7 d <= n + n' for the number d of shingles in which they differ; so neither lacks more than a quarter of its
+own in the other.
+
+1. What stands in no other set is lacking in every partner. Of any part of its shingles, a set that can link
+   has at most n / 4 that no other set shares within their parts of equal making. Sets are first judged by
+   their n / 4 + n / 8 + 4 shingles of smallest hash, and what is left by all its shingles.
+2. The shingles of the sets that are left are put in one order, by the number of sets that hold them and then
+   by hash. The first shingle that two partners share is among the first n / 4 + 1 of both (the prefix). If it
+   is rare, in RARE sets or less, the pair meets under this single shingle.
+3. Otherwise the two share no rare shingle: with x and x' rare ones, and hot parts of h and h' shingles that
+   differ in e, d = x + x' + e, and they link if 7 e <= h + h' - 6 (x + x'). So only sets with x <= n / 4 come
+   here. Sets of equal hot part need no pairs: the one of least x links to all that any of them links to.
+   Different hot parts are indexed by combinations: the frequent shingles are dealt into p classes by hash,
+   and a set's shingles of one class make one key, of k = h / p shingles on average. Parts that differ in
+   fewer shingles than they fill classes agree in a whole filled class, so a pair that may differ in e is
+   looked for at the level p with e < 2 p / 3, under p keys. (A part that fills too few classes has keys for
+   its empty classes too.)
+
+Candidates are verified by the exact size of their intersection. Within groups of one combined key the
+members are first compared with one centre (few rare shingles first), the links found are contracted, and
+this repeats while it links; of what is left, pairs of different components meet under their level's keys if
+x and h alone allow a link. No link between different texts is lost; copies are never paired.
 
 Null and empty texts have no shingles and no links; texts of under five words are one shingle. Rows that
-repeat an id count as one document with the union of their links. Rows with a null id are dropped.
+repeat an id count as one document with the union of their links. Rows with a null id are dropped. Ids must
+cast to long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +37,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, broadcast_if_small, components
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
-SHARED = 16  # K: shingles that two sets indexed by single shingles must share within their prefixes
-HEAD = 16  # least open keys of a set with combined keys, by which a pair of two such sets is met once
-COUNTERS_PER_DOC = 32
-COUNTER_BITS = 16, 24  # least and most; the latter takes 32 MB of a task's memory
-BLOCK_BITS = 15
-STAR_ROUNDS = 3
+RARE = 32  # sets that hold a shingle which is indexed alone
+STAR_ROUNDS = 4  # of contraction, before the pairs of different components are met; changes no result
 BROADCAST_ROWS = 500_000
 
 
@@ -65,181 +71,258 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _sets(words: int, bits: int):
+def _lists(arrays: list[np.ndarray], mask: list[bool] | None = None) -> pa.Array:
+    """Lists of longs; null where the mask says so."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(a) for a in arrays]))), pa.int32(), mask=None if mask is None else np.array([*mask, False]))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(offsets, signed(flat))
+
+
+def _longs(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _first(n: int) -> int:
+    return min(n, n // 4 + n // 8 + 4)
+
+
+_FIRST = "least(n, n div 4 + n div 8 + 4)"
+
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint16)  # of this task; they stop at 65,535
+        seen: set[int] = set()  # of this task: copies need their first shingles only once
         for b in slices(batches, "__text"):
             sets = shingle_sets(b.column("__text"), words)
-            if sets:
-                at, more = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-                counts[at] = np.minimum(counts[at].astype(np.int64) + more, 65_535)
-            none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), *none], ["id", "n", "node", "block", "counts"])
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        none = [pa.nulls(1, pa.int64())] * 3
-        for i in np.flatnonzero(blocks.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], ["id", "n", "node", "block", "counts"])
+            nodes = [_node(s) for s in sets]
+            skip = []
+            for s, node in zip(sets, nodes, strict=True):
+                skip.append(len(s) < 3 or node in seen)  # under three shingles only equal sets can link
+                seen.add(node)
+            first = [s[: 0 if k else _first(len(s))] for s, k in zip(sets, skip, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(first, skip)], ["id", "n", "node", "first"])
 
     return run
 
 
-def _frequent(limit: int):
+def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, counts in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
-                add = np.frombuffer(counts.as_buffer(), np.uint16)
-                total[block] = total[block] + add if block in total else add.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([np.packbits(v >= limit).tobytes() for v in total.values()], pa.binary())], ["block", "bits"]
-        )
+        for b in slices(batches, "__text"):
+            sets = shingle_sets(b.column("__text"), words)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _lists(sets)], ["node", "shingles"])
 
     return run
 
 
-def _keys(frequent: bytes, words: int, bits: int):
+def _arrange(rare: int):
+    """Of sets (node, n, shared shingles with their counts): the rare part of the prefix and the hot part."""
+    names = ["node", "n", "alone", "x", "rare", "shared", "hot", "hot_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
-        for b in slices(batches, "__text"):
-            keys, nodes, ns, mixed, inner = [], [], [], [], []
-            for s in shingle_sets(b.column("__text"), words):
-                n = len(s)
-                if n < 3:  # only equal sets can link
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                node, n = b.column("node")[i].as_py(), b.column("n")[i].as_py()
+                pairs = b.column("counted")[i].values
+                key, count = pairs.field("key").to_numpy(zero_copy_only=False).view(np.uint64), pairs.field("df").to_numpy(zero_copy_only=False)
+                alone = n - len(key)
+                if 4 * alone > n:
                     continue
-                is_hot = hot[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                rare, most = s[~is_hot], n // 4 + SHARED
-                if short := len(rare) < most:
-                    often = s[is_hot]
-                    k = np.concatenate((rare, mix(often[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ mix(often[1:]))))
-                else:
-                    k = rare[:most]
-                keys.append(k), nodes.append(_node(s)), ns.append(n), mixed.append(short)
-                inner.append(np.arange(len(k)) < (len(k) if short else n // 7 + SHARED))
-            if keys:
-                lens = [len(k) for k in keys]
+                order = np.lexsort((key, count))
+                n_rare = int((count <= rare).sum())
+                prefix = key[order[: min(n_rare, n // 4 + 1 - alone)]]
+                hot = np.sort(key[order[n_rare:]])
+                x = alone + n_rare
+                wide = 4 * x <= n and len(hot) > 0
+                rows.append((node, n, alone, x, prefix, np.sort(key), hot if wide else hot[:0], _node(hot) if wide else None))
+            if rows:
+                node, n, alone, x, prefix, key, hot, hot_id = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(ns, np.int32), lens)), pa.array(np.repeat(np.array(mixed), lens)), pa.array(np.concatenate(inner))],
-                    ["key", "node", "n", "wide", "inner"],
+                    [pa.array(node, pa.int64()), *(pa.array(v, pa.int32()) for v in (n, alone, x)), *(_lists(list(v)) for v in (prefix, key, hot)), pa.array(hot_id, pa.int64())], names
                 )
 
     return run
 
 
-def _full_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            sets = shingle_sets(b.column("__text"), words)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
-
-    return run
+def combinations(hot: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a hot part, and the level p of each: all that a partner without rare shingles could need."""
+    most = (len(hot) - 3 * x) // 3  # the most shingles in which a partner's hot part may differ
+    top = 4
+    while 2 * top // 3 - 1 < most:
+        top *= 2
+    place, value = mix(hot ^ np.uint64(0x5851F42D4C957F2D)), mix(hot)
+    total, filled = np.zeros(top, np.uint64), np.zeros(top, bool)
+    at = (place & np.uint64(top - 1)).astype(np.int64)
+    np.add.at(total, at, value)
+    filled[at] = True
+    keys, levels, p = [], [], top
+    while p >= 4 and most > 0:
+        use = filled if filled.sum() >= 2 * p // 3 else np.ones(p, bool)
+        at = np.flatnonzero(use).astype(np.uint64)
+        keys.append(mix(total[use] ^ mix(at + np.uint64(p << 32))))
+        levels.append(np.full(len(at), p, np.int32))
+        p //= 2
+        total, filled = total[:p] + total[p:], filled[:p] | filled[p:]
+    return (np.concatenate(keys), np.concatenate(levels)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
+def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, 256):
+            part = b.slice(start, 256)
+            out = [combinations(_longs(part.column("hot"), i), x) for i, x in enumerate(part.column("x").to_pylist())]
+            lens = [len(k) for k, _ in out]
+            each = [pa.array(np.repeat(part.column(c).to_numpy(), lens)) for c in ("rep", "x", "h")]
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([k for k, _ in out])), pa.array(np.concatenate([p for _, p in out])), *each], ["key", "level", "rep", "x", "h"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) with the size of the intersection of their sorted sets x and y."""
     for b in batches:
-        link = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            xs, ys = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        common = []
+        for i in range(b.num_rows):
+            xs, ys = _longs(b.column("x"), i), _longs(b.column("y"), i)
             at = np.searchsorted(xs, ys)
-            same = int((xs[np.minimum(at, len(xs) - 1)] == ys).sum())
-            link.append(100 * same >= 75 * (len(xs) + len(ys) - same))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
+            common.append(int((xs[np.minimum(at, len(xs) - 1)] == ys).sum()))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, ws: Workspace | None = None) -> DataFrame:
-    """Rows (id, n_shingles, component_id), one for each row of docs with an id."""
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__id IS NOT NULL")
-    bits = min(COUNTER_BITS[1], max(COUNTER_BITS[0], (base.count() * COUNTERS_PER_DOC).bit_length()))
-    both = ws.save(base.mapInArrow(_sets(words, bits), "id long, n long, node long, block int, counts binary"), "sets")
-    sets = both.where("block IS NULL").select("id", "n", "node")
-    mean = (sets.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    limit = int(mean + 4 * mean**0.5 + 16)
-    n_blocks = 1 << (bits - BLOCK_BITS)
-    counted = both.where("block IS NOT NULL").select("block", "counts").repartition(min(64, n_blocks), "block").mapInArrow(_frequent(limit), "block int, bits binary")
-    size = (1 << BLOCK_BITS) // 8
-    frequent = bytearray(n_blocks * size)
-    for r in counted.toLocalIterator():  # of a bounded size: one bit for each counter, 2 MB at most
-        frequent[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
+def _intersect(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (a, b, common) of pairs (a, b); the set of b travels to that of a."""
+    ys, xs = sets.toDF("b", "y"), sets.toDF("a", "x")
+    return pairs.select("a", "b").join(ys, "b").join(xs, "a").select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common long")
 
-    one = ws.save(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    # an id goes only if all its sets are copies; ids of several sets, or of empty and other texts, are kept aside
-    each = sets.where("n > 0").join(one, "node").select("id", "node", "n", (F.col("id") == F.col("rep")).alias("own"))
-    each = each.unionByName(sets.where("n = 0").select("id", F.lit(None).cast("long").alias("node"), "n", F.lit(False).alias("own")))
-    of_id = each.groupBy("id").agg(F.max("own").alias("own"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"))
-    of_id = ws.save(of_id.where("last IS NOT NULL AND (NOT own OR first < last OR least = 0)"), "ids")
-    same_id = sets.where("n > 0").join(of_id.where("first < last").select("id", "first"), "id").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    same_id = ws.save(same_id.where("a <> b").distinct(), "same-id")
-    firsts = base.join(broadcast_if_small(of_id.where("NOT own").select(F.col("id").alias("__id")), BROADCAST_ROWS), "__id", "left_anti")
-    keys = ws.save(firsts.select("__text").mapInArrow(_keys(bytes(frequent), words, bits), "key long, node long, n int, wide boolean, inner boolean"), "keys")
+
+def _survivors(ws: Workspace, both: DataFrame) -> DataFrame:
+    """Nodes (node, n) whose first shingles do not rule out every link."""
+    first = both.where("first IS NOT NULL")
+    keys = first.select("node", F.explode("first").alias("key"))
     shared = ws.save(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared-keys")
-    near = Window.partitionBy("key").orderBy("n")  # a set stays under a key only with one of a size that it can link with
-    met = keys.join(shared, "key", "left_semi").withColumn("less", F.lag("n").over(near)).withColumn("more", F.lead("n").over(near))
-    met = ws.save(met.where("4L * less >= 3L * n OR 4L * n >= 3L * more").drop("less", "more"), "met-keys")
-    ws.drop(keys, shared)
-    index = ws.save(_able(met), "index")
-    ws.drop(met)
-
-    pick = one.join(index.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("__id"))
-    pick = broadcast_if_small(ws.save(pick.distinct(), "picked"), BROADCAST_ROWS)
-    full = ws.save(base.join(pick, "__id", "left_semi").select("__text").mapInArrow(_full_sets(words), "node long, hashes binary"), "full-sets")
-
-    tested, star, rounds = None, True, 0
-    labels = None if same_id.isEmpty() else components(ws, same_id)
-    here = index.withColumn("comp", F.col("node"))
+    met = keys.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    times = first.groupBy("node").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+    alive = ws.save(times.join(met, "node").where(f"4 * ({_FIRST} - met div times) <= n").select("node", "n"), "survivors")
+    ws.drop(shared)
+    return alive
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether x and h of two different hot parts allow a link."""
+    h, g, x, y = (F.col(c) for c in (f"{a}.h", f"{b}.h", f"{a}.x", f"{b}.x"))
+    return 7 * F.greatest(F.lit(1), F.abs(h - g)) <= h + g - 6 * (x + y)
+
+
+def _rare_links(ws: Workspace, arranged: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of sets that share a rare shingle."""
+    index = ws.save(arranged.select("node", "n", "alone", F.posexplode("rare").alias("at", "key")).select("key", "node", "n", (F.col("alone") + F.col("at")).alias("at")), "rare-keys")
+    l, r = index.alias("l"), index.alias("r")
+    size = (F.col("l.node") < F.col("r.node")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n"))
+    # the first shingle that two sets share has all the others behind it in both
+    rest = 7 * F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= 3 * (F.col("l.n") + F.col("r.n"))
+    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & size & rest).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), (F.col("l.n") + F.col("r.n")).alias("both"))
+    pairs = ws.save(pairs.distinct(), "rare-pairs")
+    done = _intersect(pairs, sets).join(pairs, ["a", "b"]).where("7 * common >= 3 * both")
+    return ws.save(done.select("a", "b"), "rare-links")
+
+
+def _hot_links(ws: Workspace, arranged: DataFrame) -> DataFrame:
+    """Links (a, b) of sets that share no rare shingle, up to paths: of each class of sets with equal hot part and x one."""
+    wide = arranged.where("hot_id IS NOT NULL").select("node", "x", "hot_id", F.size("hot").alias("h"))
+    least = wide.groupBy("hot_id").agg(F.min("x").alias("least"))
+    wide = wide.join(least, "hot_id").withColumn("tight", F.expr("3 * (x + least) <= h"))
+    wide = wide.withColumn("x", F.when(F.col("tight"), F.col("least")).otherwise(F.col("x")))
+    reps = wide.groupBy("hot_id", "x").agg(F.min("node").alias("rep"))
+    members = ws.save(wide.join(reps, ["hot_id", "x"]).select("node", "rep", "x", "h", "tight"), "hot-members")
+    parts = members.where("node = rep").select("rep", "x", "h").join(arranged.select(F.col("node").alias("rep"), "hot"), "rep")
+    parts = ws.save(parts, "hot-parts")
+    keys = parts.select("rep", "x", "h", "hot").mapInArrow(_combinations, "key long, level int, rep long, x int, h int")
+    here = ws.save(keys, "combinations").withColumn("comp", F.col("rep"))
+    about = parts.select("rep", "x", "h")
+    hot = parts.select("rep", "hot")
+
+    tested, labels, rounds, star = None, None, 0, True
     while True:
-        groups = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "comp", "wide"), F.xxhash64("comp", "node", F.lit(rounds))).alias("c")).where("lo < hi")
+        groups = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "x", "h", "comp"), F.struct(F.xxhash64("comp", F.lit(rounds)) if rounds else F.lit(0), "x", -F.col("h"), "rep")).alias("c")).where("lo < hi")
         if star:
-            pairs = here.join(groups.select("key", "c"), "key").where("comp <> c.comp").select(F.col("c.node").alias("p"), F.col("node").alias("q"), F.col("c.n").alias("pn"), F.col("n").alias("qn"), (F.col("wide") & F.col("c.wide")).alias("wide"))
+            l, r = here.alias("l"), groups.select("key", "c.*").alias("r")
+            met = F.lit(True)
         else:
-            heads = here.where("wide").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, HEAD).alias("head"))
-            headed = here.join(heads, "node", "left")
-            l, r = headed.alias("l"), headed.alias("r")
-            smaller = F.when(F.col("l.n") < F.col("r.n"), F.col("l.inner")).when(F.col("l.n") > F.col("r.n"), F.col("r.inner")).otherwise(F.col("l.inner") | F.col("r.inner"))
-            # two sets with combined keys may share hundreds of them: of those in both heads only the least counts
-            both = F.array_intersect("l.head", "r.head")
-            once = F.coalesce(F.size(both) <= 0, F.lit(True)) | (F.col("l.key") == F.array_min(both))
-            pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller & once).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.n").alias("pn"), F.col("r.n").alias("qn"), (F.col("l.wide") & F.col("r.wide")).alias("wide"))
-        pairs = pairs.where("4L * least(pn, qn) >= 3L * greatest(pn, qn)")
-        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("c"), F.min("wide").alias("wide"))
-        # A star may pass over a pair that shares few keys with its centre; the last round compares all.
-        pairs = pairs.where(F.col("wide") | (F.col("c") >= (SHARED // 2 if star else SHARED))).select("p", "q", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+            open_ = here.join(groups.select("key"), "key", "left_semi")
+            l, r = open_.alias("l"), open_.alias("r")
+            may_differ = F.floor((F.col("l.h") + F.col("r.h") - 6 * (F.col("l.x") + F.col("r.x"))) / 7)
+            level = F.col("l.level")
+            met = (F.col("l.rep") < F.col("r.rep")) & (may_differ <= F.floor(2 * level / 3) - 1) & (may_differ > F.when(level > 4, F.floor(level / 3) - 1).otherwise(0))
+        on = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r") & met
+        pairs = l.join(r, on).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        # the member's set first, then the centre's: one set of each pair is shuffled
-        x, y = full.select(F.col("node").alias("p"), F.col("hashes").alias("x")), full.select(F.col("node").alias("q"), F.col("hashes").alias("y"))
-        done = pairs.join(y, "q").join(x, "p").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, link boolean")
-        done = ws.save(done, "verified")
+        done = _intersect(pairs, hot)
+        for side in ("a", "b"):
+            done = done.join(about.toDF(side, f"x_{side}", f"h_{side}"), side)
+        link = F.expr("6 * (x_a + x_b) + 7 * (h_a + h_b - 2 * common) <= h_a + h_b")
+        done = ws.save(done.select("a", "b", link.alias("link")), "hot-verified")
         n_links = done.where("link").count()
         tested = done if tested is None else tested.union(done)
-        if n_links:
-            labels = components(ws, tested.where("link").select("a", "b").union(same_id))
         rounds += 1
         if not star:
             break
         star = n_links > 0 and rounds < STAR_ROUNDS
+        if n_links:
+            labels = components(ws, tested.where("link").select("a", "b"))
         if labels is not None:
-            here = here.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            here = ws.save(_able(ws.save(here.join(open_keys, "key", "left_semi"), "open")), "members")
+            here = here.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        here = ws.save(here.join(open_keys, "key", "left_semi"), "open-combinations")
+
+    links = tested.where("link").select("a", "b")
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    # sets of equal hot part with too many rare shingles to link each other all link to what their class links to
+    own = members.where("node <> rep").join(linked, "rep", "left").where("tight OR linked").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return links.union(own)
 
-    named = one if labels is None else one.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    if labels is None:
-        named = named.withColumn("c", F.col("node"))
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rare: int = RARE, ws: Workspace | None = None) -> DataFrame:
+    """Rows (id, n_shingles, component_id), one for each row of docs with an id."""
+    spark = docs.sparkSession
+    ws = ws or Workspace(spark)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__id IS NOT NULL")
+    both = ws.save(base.mapInArrow(_sets(words), "id long, n long, node long, first array<long>"), "first-shingles")
+    sets = ws.save(both.select("id", "n", "node"), "sets")
+    one = ws.save(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
+    same_id, mixed = _repeated_ids(ws, sets)
+
+    alive = _survivors(ws, both)
+    ws.drop(both)
+    pick = ws.save(one.join(alive, "node", "left_semi").select(F.col("rep").alias("__id")).distinct(), "picked")
+    full = base.join(broadcast_if_small(pick, BROADCAST_ROWS), "__id", "left_semi").select("__text").mapInArrow(_full_sets(words), "node long, shingles array<long>")
+    full = ws.save(full.join(broadcast_if_small(alive.select("node"), BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+    shingles = full.select("node", F.explode("shingles").alias("key"))
+    counts = ws.save(shingles.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    counted = shingles.join(counts, "key").groupBy("node").agg(F.collect_list(F.struct("key", "df")).alias("counted")).join(alive, "node")
+    schema = "node long, n int, alone int, x int, rare array<long>, shared array<long>, hot array<long>, hot_id long"
+    arranged = ws.save(counted.select("node", "n", "counted").mapInArrow(_arrange(rare), schema), "arranged")
+    ws.drop(full, counts)
+
+    links = _rare_links(ws, arranged, arranged.select("node", "shared")).union(_hot_links(ws, arranged)).union(same_id)
+    labels = components(ws, links)
+    ws.drop(arranged)
+
+    named = one.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_node = named.join(least, "c").select("node", "component_id")
-    out = sets.join(of_node.select(F.col("node").alias("node"), "component_id"), "node", "left")
+    out = sets.join(of_node, "node", "left")
     alone = F.col("id")
-    if not (mixed := of_id.where("least = 0")).isEmpty():  # an empty text belongs to the other texts of its id
-        mixed = mixed.select("id", F.col("first").alias("node")).join(of_node, "node").select("id", F.col("component_id").alias("of_id"))
-        out, alone = out.join(mixed, "id", "left"), F.coalesce("of_id", "id")
+    if not mixed.isEmpty():  # an empty text belongs to the other texts of its id
+        of_id = mixed.join(of_node, "node").select("id", F.col("component_id").alias("of_id"))
+        out, alone = out.join(of_id, "id", "left"), F.coalesce("of_id", "id")
     return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(alone).alias("component_id"))
 
 
-def _able(index: DataFrame) -> DataFrame:
-    """Rows of the sets that may still link by their number of keys."""
-    able = index.groupBy("node").agg(F.count("*").alias("c"), F.first("wide").alias("w")).where(F.col("w") | (F.col("c") >= SHARED))
-    return index.join(able.select("node"), "node", "left_semi")
+def _repeated_ids(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the nodes of one id, and a node of each id that has empty and other texts."""
+    of_id = sets.groupBy("id").agg(F.min(F.when(F.col("n") > 0, F.col("node"))).alias("first"), F.max(F.when(F.col("n") > 0, F.col("node"))).alias("last"), F.min("n").alias("least"))
+    of_id = ws.save(of_id.where("first IS NOT NULL AND (first < last OR least = 0)"), "repeated-ids")
+    same = sets.where("n > 0").join(of_id.where("first < last").select("id", "first"), "id").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return ws.save(same.where("a <> b").distinct(), "same-id"), of_id.where("least = 0").select("id", F.col("first").alias("node"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:

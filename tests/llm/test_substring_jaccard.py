@@ -142,6 +142,51 @@ def test_jaccard_links_large_near_copy_groups(spark):
     assert got == brute_components(rows)
 
 
+def near_copies(seed, changes, n=140, length=90, pool=None):
+    """Copies of one text with so many words changed each, to new words or to words of a small pool."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(length), rng.choice(changes)):
+            w[at] = f"p{rng.randrange(pool)}" if pool else f"c{i}_{at}"
+        if rng.random() < 0.3:
+            at = rng.randrange(length - 10)
+            del w[at : at + rng.randrange(8)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "rare"), [(near_copies(1, [2, 3, 4]), 32), (near_copies(2, [1, 2, 4, 6]), 4), (near_copies(3, [3, 4, 5], pool=3), 4), (texts(6), 1)])
+def test_jaccard_groups_below_and_around_the_threshold(spark, rows, rare):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, rare=rare).collect()}
+    want = brute_components(rows)
+    assert got == want
+    assert len({c for _, c in want.values()}) > 1
+
+
+def test_combinations_meet_whatever_may_link():
+    """Hot parts that differ in no more shingles than their sizes and rare shingles allow share a key of their level."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        h = int(rng.integers(3, 200))
+        base = rng.integers(0, 1 << 63, h + 60, dtype=np.uint64)
+        x, y = (int(rng.integers(0, max(1, h // 8))) for _ in "ab")
+        part = base[:h]
+        out, new = int(rng.integers(0, h // 3 + 1)), int(rng.integers(0, 12))
+        other = np.concatenate((part[out:], base[h : h + new]))
+        may = (h + len(other) - 6 * (x + y)) // 7
+        if not 1 <= out + new <= may or not len(other):
+            continue
+        p = 4
+        while 2 * p // 3 - 1 < may:
+            p *= 2
+        a, b = ({int(k) for k, q in zip(*jaccard.combinations(np.sort(s), z), strict=True) if q == p} for s, z in ((part, x), (other, y)))
+        assert a & b
+
+
 def test_jaccard_keeps_one_of_each(spark):
     t = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, t), (2, t), (3, None), (None, t), (4, "")], "doc_id long, text string")
