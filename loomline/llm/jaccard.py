@@ -235,43 +235,46 @@ def _hot_links(ws: Workspace, arranged: DataFrame) -> DataFrame:
     parts = members.where("node = rep").select("rep", "x", "h").join(arranged.select(F.col("node").alias("rep"), "hot"), "rep")
     parts = ws.save(parts, "hot-parts")
     keys = parts.select("rep", "x", "h", "hot").mapInArrow(_combinations, "key long, level int, rep long, x int, h int")
-    here = ws.save(keys, "combinations").withColumn("comp", F.col("rep"))
+    index = ws.save(keys, "combinations")
     about = parts.select("rep", "x", "h")
     hot = parts.select("rep", "hot")
 
-    tested, labels, rounds, star = None, None, 0, True
-    while True:
-        groups = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "x", "h", "comp"), F.struct(F.xxhash64("comp", F.lit(rounds)) if rounds else F.lit(0), "x", -F.col("h"), "rep")).alias("c")).where("lo < hi")
-        if star:
-            l, r = here.alias("l"), groups.select("key", "c.*").alias("r")
-            met = F.lit(True)
-        else:
-            open_ = here.join(groups.select("key"), "key", "left_semi")
-            l, r = open_.alias("l"), open_.alias("r")
-            may_differ = F.floor((F.col("l.h") + F.col("r.h") - 6 * (F.col("l.x") + F.col("r.x"))) / 7)
-            level = F.col("l.level")
-            met = (F.col("l.rep") < F.col("r.rep")) & (may_differ <= F.floor(2 * level / 3) - 1) & (may_differ > F.when(level > 4, F.floor(level / 3) - 1).otherwise(0))
-        on = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r") & met
-        pairs = l.join(r, on).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    def verified(met: DataFrame) -> DataFrame:
+        pairs = met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         done = _intersect(pairs, hot)
         for side in ("a", "b"):
             done = done.join(about.toDF(side, f"x_{side}", f"h_{side}"), side)
         link = F.expr("6 * (x_a + x_b) + 7 * (h_a + h_b - 2 * common) <= h_a + h_b")
-        done = ws.save(done.select("a", "b", link.alias("link")), "hot-verified")
-        n_links = done.where("link").count()
+        return ws.save(done.select("a", "b", link.alias("link")), "hot-verified")
+
+    def still_open(here: DataFrame) -> DataFrame:
+        """Rows of the keys under which sets of different components stand."""
+        if labels is not None:
+            here = here.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        else:
+            here = here.withColumn("comp", F.col("rep"))
+        keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return ws.save(here.join(keys, "key", "left_semi"), "open-combinations")
+
+    tested, labels = None, None
+    other = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r")
+    few = index.where("16 * level >= h AND (4 * level <= h OR level = 4)")  # of some 4 to 16 shingles each
+    for rounds in range(STAR_ROUNDS):
+        here = still_open(few)
+        first = F.xxhash64("comp", F.lit(rounds)) if rounds else F.lit(0)
+        centre = here.groupBy("key").agg(F.min_by(F.struct("rep", "x", "h", "comp"), F.struct(first, "x", -F.col("h"), "rep")).alias("c")).select("key", "c.*")
+        done = verified(here.alias("l").join(centre.alias("r"), other))
         tested = done if tested is None else tested.union(done)
-        rounds += 1
-        if not star:
+        if done.where("link").isEmpty():
             break
-        star = n_links > 0 and rounds < STAR_ROUNDS
-        if n_links:
-            labels = components(ws, tested.where("link").select("a", "b"))
-        if labels is not None:
-            here = here.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        here = ws.save(here.join(open_keys, "key", "left_semi"), "open-combinations")
+        labels = components(ws, tested.where("link").select("a", "b"))
+    here = still_open(index)
+    may_differ = F.floor((F.col("l.h") + F.col("r.h") - 6 * (F.col("l.x") + F.col("r.x"))) / 7)
+    level = F.col("l.level")
+    at_level = (may_differ <= F.floor(2 * level / 3) - 1) & (may_differ > F.when(level > 4, F.floor(level / 3) - 1).otherwise(0))
+    tested = tested.union(verified(here.alias("l").join(here.alias("r"), other & at_level & (F.col("l.rep") < F.col("r.rep")))))
 
     links = tested.where("link").select("a", "b")
     linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
