@@ -45,6 +45,7 @@ from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
 RARE = 32  # sets that hold a shingle which is indexed alone
+HEAD = 8  # least keys of a level by which a pair is met once; changes no result
 STAR_ROUNDS = 4  # of contraction, before the pairs of different components are met; changes no result
 BROADCAST_ROWS = 500_000
 
@@ -274,7 +275,12 @@ def _hot_links(ws: Workspace, arranged: DataFrame) -> DataFrame:
     may_differ = F.floor((F.col("l.h") + F.col("r.h") - 6 * (F.col("l.x") + F.col("r.x"))) / 7)
     level = F.col("l.level")
     at_level = (may_differ <= F.floor(2 * level / 3) - 1) & (may_differ > F.when(level > 4, F.floor(level / 3) - 1).otherwise(0))
-    tested = tested.union(verified(here.alias("l").join(here.alias("r"), other & at_level & (F.col("l.rep") < F.col("r.rep")))))
+    # parts that are much alike share many keys of their level: of those in both heads only the least counts
+    heads = here.groupBy("rep", "level").agg(F.slice(F.array_sort(F.collect_list("key")), 1, HEAD).alias("head"))
+    here = here.join(heads, ["rep", "level"])
+    shared = F.array_intersect("l.head", "r.head")
+    once = (F.size(shared) == 0) | (F.col("l.key") == F.array_min(shared))
+    tested = tested.union(verified(here.alias("l").join(here.alias("r"), other & at_level & (F.col("l.rep") < F.col("r.rep")) & once)))
 
     links = tested.where("link").select("a", "b")
     linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
