@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-A text is cut into lower-case runs of letters. A word known from training scores by its log frequency in
+A text is cut into lower-case runs of letters (of any script; marks that combine with letters, too). A word known from training scores by its log frequency in
 each language; an unseen word backs off to its known character 5-grams, then 4-, 3-, 2- and 1-grams (word
 ends count as a character), the first order of which any is known. The languages' scores over all words of
 the whole text give the prediction, ties going to the first language in order, and the posterior its score.
@@ -8,6 +8,8 @@ the whole text give the prediction, ties going to the first language in order, a
 The model is fitted on a bounded sample of the labelled rows (``fit_rows``, chosen by a hash of their id) and
 keeps the ``words`` and ``ngrams`` (for each order) most frequent features, so its size is bounded too.
 
+A document is kept by its prediction: ``keep_identified`` states by which share of known words.
+
 Null texts and texts without a letter are ``und`` with score 0, as is everything if no row is labelled.
 Texts in unlabelled scripts back off to no known character and get the uniform score. Null labels do not
 train; rows that repeat an id are predicted one by one; other columns pass through.
@@ -31,25 +33,45 @@ FIT_ROWS = 8000
 WORDS, NGRAMS = 200_000, 50_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
+LEAST_KNOWN = 0.5  # share of known words under which a text is in none of the learned languages
 SURE = 50  # words from which on more words do not make the score surer
 
 _LETTER = np.full(256, 0x20, np.uint8)
-_LETTER[0x80:] = np.arange(0x80, 0x100)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
+_OTHER = r"[^\p{L}\p{M}]+"  # what parts words
 
 
 def _letters(texts: pa.Array) -> pa.Array:
-    """ASCII letters in lower case, other ASCII as spaces; letters À to Þ in lower case."""
+    """The letters of each text in lower case, runs of anything else as spaces.
+
+    ASCII and the letters U+00C0 to U+00FF are dealt with byte by byte, the texts that hold any other
+    character by Unicode's classes.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    offset = texts.offset
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[offset : offset + len(texts) + 1]
     if texts.buffers()[2] is None or bounds[0] == bounds[-1]:
         return texts
-    data = _LETTER[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]
-    second = np.flatnonzero(data[:-1] == 0xC3) + 1
-    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
-    data[second] += 0x20
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds - bounds[0]), pa.py_buffer(data))
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    data = _LETTER[raw]
+    bounds = bounds - bounds[0]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    second = raw[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    data[lead[letter]] = 0xC3
+    data[lead[letter] + 1] = second[letter] + np.where(second[letter] <= 0x9E, 0x20, 0).astype(np.uint8)
+    plain = np.concatenate(([0], ((raw >= 0x80) & (raw != 0xC3)).cumsum()))
+    twos = np.concatenate(([0], (raw == 0xC3).cumsum()))
+    # of a text within Latin-1 each byte beyond ASCII is a 0xC3 or the one after it; 0xDF has no capital there
+    odd = np.flatnonzero((plain[bounds[1:]] - plain[bounds[:-1]]) != (twos[bounds[1:]] - twos[bounds[:-1]]))
+    out = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds), pa.py_buffer(data))
+    if not len(odd):
+        return out
+    by_class = pc.replace_substring_regex(pc.utf8_lower(texts.take(pa.array(odd))), _OTHER, " ")
+    mask = np.zeros(len(texts), bool)
+    mask[odd] = True
+    return pc.replace_with_mask(out, pa.array(mask), by_class)
 
 
 def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -113,9 +135,10 @@ class Model:
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
         return known[at] == features, scores[at]
 
-    def words(self, hashes: np.ndarray, words: pa.Array) -> np.ndarray:
-        """Log posterior of each language for each distinct word."""
+    def words(self, hashes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log posterior of each language for each distinct word, and whether it or an n-gram of two characters or more of it is known."""
         hit, out = self._find(0, hashes)
+        sure = hit.copy()
         out = np.where(hit[:, None], out, np.float32(-np.log(max(1, len(self.langs)))))
         left = np.flatnonzero(~hit)
         texts = words.take(pa.array(left)).to_pylist()
@@ -129,16 +152,22 @@ class Model:
             for i in range(len(self.langs)):
                 mean = np.bincount(word[known], score[known, i], minlength=len(left))[got] / count[got]
                 out[left[got], i] = mean
+            if n > 1:
+                sure[left[got]] = True
             texts = [t for t, g in zip(texts, got, strict=True) if not g]
             left = left[~got]
-        return out
+        return out, sure
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and share of known words of each text."""
         offsets, hashes, place, words = _distinct(_letters(texts))
         n = np.diff(offsets)
         if not self.langs:
-            return [UNKNOWN] * len(n), np.zeros(len(n))
-        each = self.words(hashes, words).astype(np.float64)
+            return [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n))
+        each, sure = self.words(hashes, words)
+        each = each.astype(np.float64)
+        sums = np.concatenate(([0], sure[place].cumsum()))
+        known = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
         total = np.concatenate((np.zeros((1, len(self.langs))), each[place].cumsum(axis=0)))
         mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)[:, None]
         scores = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, SURE)[:, None])
@@ -149,7 +178,7 @@ class Model:
         for i in np.flatnonzero(~plain):
             if not any(c.isalpha() for c in texts[int(i)].as_py() or ""):
                 langs[i], score[i] = UNKNOWN, 0.0
-        return langs, score
+        return langs, score, known
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
@@ -175,17 +204,21 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, ngrams: i
 def _predict(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            langs, score = model.predict(b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
+            langs, score, known = model.predict(b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*names, "lang_pred", "lang_score", "lang_known"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows of docs with lang_pred and lang_score, which replace columns of these names."""
-    docs = without(docs, "lang_pred", "lang_score")
+    """All rows of docs with lang_pred, lang_score and lang_known, which replace columns of these names.
+
+    lang_known is the share of the text's words that the model knows, as words or by n-grams of two
+    characters or more.
+    """
+    docs = without(docs, "lang_pred", "lang_score", "lang_known")
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_known", T.DoubleType())])
     return docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("__text")).mapInArrow(_predict(model, names), schema)
 
 
@@ -197,9 +230,19 @@ def fit_documents(docs: DataFrame) -> Model:
     return fit(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of documents in which a language is found; their lang stays as it is."""
-    return predict(docs, fit_documents(docs)).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "lang_score")
+def keep_identified(docs: DataFrame, least_known: float = LEAST_KNOWN) -> DataFrame:
+    """The rows of documents in which a language that the model has learned is found; their columns stay as they are.
+
+    Rejected are texts without a letter and texts of which less than ``least_known`` of the words are known to the
+    model, as words or by n-grams of two characters or more: those in another script, above all. If no row is labelled
+    nothing can be judged but letters, and texts that have some stay.
+    """
+    model = fit_documents(docs)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = predict(docs.select(F.struct(*names).alias("__row"), F.col("text")), model)
+    return out.where(F.col("lang_pred") != UNKNOWN).where(F.col("lang_known") >= least_known).select("__row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
