@@ -17,7 +17,7 @@ def test_arc_round_trip(version):
     assert [archives.http_parts(r["body"])[2] for r in got] == [p for _, _, p in rows]
     assert [int(archives.http_parts(r["body"])[0]["X-Page-Id"]) for r in got] == list(range(7))
     assert got[0]["URL"] == "http://a/b%20c" and got[1]["URL"] == "urn:x-page:1"
-    warc = b"".join(archives.warc_record(r, None) + b"\r\n\r\n" for r in got)
+    warc = b"".join(archives.warc_record(r, archives.record_id(r, "", "a")) + b"\r\n\r\n" for r in got)
     back = list(archives.read_warc(io.BytesIO(warc)))
     assert [archives.http_parts(b)[2] for _, b in back] == [p for _, _, p in rows]
     assert back[0][0]["WARC-Date"] == "2024-01-01T00:00:00Z" and len({f["WARC-Record-ID"] for f, _ in back}) == 7
@@ -29,11 +29,54 @@ def test_broken_archives_are_refused():
         list(archives.read_arc(whole[:-3]))
     with pytest.raises(ValueError):
         list(archives.read_arc(b"http://a/ 0.0.0.0 20240101000000 text/html 2\nab\n"))
-    record = archives.warc_record(next(archives.read_arc(whole)), None)
+    record = archives.warc_record(next(archives.read_arc(whole)), "<urn:uuid:0>")
     with pytest.raises(ValueError):
         list(archives.read_warc(io.BytesIO(record.replace(b"body", b"bodx"))))
 
 
+LEGACY = b"1 0 crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+
+
+def legacy(*records):
+    """A version-1 file whose records have no page ids: (header line without its length, body)."""
+    out = b"filedesc://x.arc 0.0.0.0 1999 text/plain %d\n" % len(LEGACY) + LEGACY + b"\n"
+    return out + b"".join(head + b" %d\n" % len(body) + body + b"\n" for head, body in records)
+
+
+def test_header_lines_of_real_archives():
+    odd = legacy((b"http://a/x y 1.2.3.4 19990102030405 text/html; charset=utf-8", b"HTTP/1.0 200 OK\r\n\r\nhi"), (b"http://b/\xe9 - 19990102 ", b"plain \xff"), (b"dns:c 1.2.3.4 19990102030405 text/dns", b"c A 1"))
+    got = list(archives.read_arc(odd))
+    assert [(r["URL"], r["Content-type"], r["Archive-date"]) for r in got] == [("http://a/x y", "text/html; charset=utf-8", "19990102030405"), ("http://b/%E9", "", "19990102"), ("dns:c", "text/dns", "19990102030405")]
+    back = list(archives.read_warc(io.BytesIO(b"".join(archives.warc_record(r, f"<urn:uuid:{i}>") + b"\r\n\r\n" for i, r in enumerate(got)))))
+    assert [f["WARC-Type"] for f, _ in back] == ["response", "resource", "resource"]
+    assert [b for _, b in back] == [b"HTTP/1.0 200 OK\r\n\r\nhi", b"plain \xff", b"c A 1"]
+    assert [f["WARC-Date"] for f, _ in back] == ["1999-01-02T03:04:05Z", "1999-01-02T00:00:00Z", "1999-01-02T03:04:05Z"]
+    two = archives.arc_segment([(1, "http://a/", b"x")], 2).replace(b"text/html 200", b"text/html; charset=latin1 200")
+    assert next(archives.read_arc(two))["Content-type"] == "text/html; charset=latin1"
+    bad: list = []
+    assert len(list(archives.read_arc(odd + b"no header\nrest", bad))) == 3 and len(bad) == 1
+
+
+def test_archives_without_page_ids_have_revisits_and_bad_rests_are_set_aside(spark, tmp_path):
+    body = b"HTTP/1.0 200 OK\r\n\r\n" + b"same payload " * 20
+    files = [legacy((b"http://a/1 - 19990102030405 text/html", body), (b"http://a/2 - 19990102030405 text/html", body)), legacy((b"http://a/1 - 19990102030405 text/html", body)) + b"broken\n", b""]
+    arcs = spark.createDataFrame([(f,) for f in files], "content binary")
+    archives.convert(arcs, f"{tmp_path}/warc")
+    got = archives.read_archives(spark, f"{tmp_path}/warc").collect()
+    first = [r for r in got if r.record_type == "response"]
+    assert len(got) == 3 and len(first) == 1 and len({r.record_id for r in got}) == 3
+    assert {r.refers_to_id for r in got} == {None, first[0].record_id}
+    assert first[0].record_id == min(r.record_id for r in got)
+    assert archives.set_aside(arcs).count() == 1
+
+
+def test_equal_rows_are_records_of_their_own(spark, tmp_path):
+    row = (1, "http://a/", "long enough to revisit " * 9)
+    spark.createDataFrame([row, row, (None, None, "x" * 200)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = archives.op5_warc(spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.record_type) for r in got) == [("1", "response"), ("1", "revisit"), ("None", "response")]
+
+
 def test_warc_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(4)
     payloads = [*ODD, "same " * 30, "other " * 40]
@@ -56,7 +99,7 @@ def test_warc_of_an_empty_table(spark, tmp_path):
 
 
 def text(html, template=()):
-    return extract.main_text(extract.parse(html), set(template))
+    return extract.main_text(extract.parse(html), set(template))[0]
 
 
 def test_main_text_of_messy_pages():
@@ -96,6 +139,29 @@ def test_template_counts_do_not_scale_with_the_host(spark, monkeypatch, at_once)
     assert got == {i: f"own {i}" for i in range(200)} | {1000 + i: "copy same" for i in range(9)}
 
 
+def test_names_of_what_holds_the_text_decide_nothing():
+    assert text('<div class="wrap has-sidebar"><article><p>Main text</p></article></div>') == "Main text"
+    assert text('<article>a <div class="content no-comments">b</div><div class="comments">no</div></article>') == "a b"
+
+
+def test_templates_without_telling_names_go_by_their_counts(spark):
+    """Menus, adverts and side boxes in plain divs, other words on each page; no article element."""
+    word = lambda i, k: f"w{i}x{k}"
+
+    def page(i):
+        menu = "".join(f"<li><a href=/{word(i, k)}>{word(i, k)}</a>" for k in range(5))
+        text = "".join(f"<p>{' '.join(word(i, 100 + k) for k in range(40))}</p>" for _ in range(1 + i % 3))
+        return f"<body><div class=a><ul>{menu}</ul></div><div class=b{i}>{word(i, 7)}</div><h1>T{i}</h1><div class=c><div>{text}</div><div>box of all</div></div><div class=d>{word(i, 8)} {word(i, 9)}</div></body>"
+
+    rows = [(i, f"http://h.xx/{i}", page(i)) for i in range(8)] + [(100, "http://lone.xx/", page(100))]
+    out = {r.page_id: r for r in extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        p = " ".join(word(i, 100 + k) for k in range(40))
+        assert out[i].main_text == " ".join([f"T{i}", *[p] * (1 + i % 3)]), i
+        assert out[i].template_subtrees == 4
+    assert out[100].template_subtrees == 0 and "w100x7" in out[100].main_text
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices(["the", "ing", "er", "on", "le"], k=3))
@@ -105,7 +171,7 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     docs[30], docs[31] = near, near[:50] + ["changed"] + near[51:]
     docs[40], docs[41] = fresh(20) + passage, fresh(25) + passage + fresh(5)
     docs[50] = fresh(10) + leak + fresh(10)
-    rows = [(i, " ".join(w), "en", "s", 0) for i, w in docs.items()] + [(60, "... 1 2", "en", "s", 7), (61, None, None, "s", 0)]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in docs.items()] + [(60, "... 1 2", "en", "s", 7), (61, None, None, "s", 0), (62, "ภาษาไทย เป็นภาษา", None, "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(leak))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
