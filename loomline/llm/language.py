@@ -238,11 +238,12 @@ def keep_identified(docs: DataFrame, least_known: float = LEAST_KNOWN) -> DataFr
     nothing can be judged but letters, and texts that have some stay.
     """
     model = fit_documents(docs)
-    names = [F.col(f"`{c}`") for c in docs.columns]
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = predict(docs.select(F.struct(*names).alias("__row"), F.col("text")), model)
-    return out.where(F.col("lang_pred") != UNKNOWN).where(F.col("lang_known") >= least_known).select("__row.*")
+    added = {"lang_pred", "lang_score", "lang_known"}
+    aside = [f"__{c}" if c.lower() in added else c for c in docs.columns]  # the input's own columns of these names
+    out = predict(docs.toDF(*aside), model).where(F.col("lang_pred") != UNKNOWN).where(F.col("lang_known") >= least_known)
+    return out.select(*(F.col(f"`{a}`").alias(c) for a, c in zip(aside, docs.columns, strict=True)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
