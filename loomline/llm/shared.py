@@ -17,9 +17,11 @@ _CLEANUP = (
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share; a temporary one only in local mode, where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='loomline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
