@@ -23,10 +23,13 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a local one only where the session names none."""
+    """Reliable checkpoint in the cluster's shared folder; a temporary one only in local mode, where the session names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="loomline-"))
     return df.checkpoint()
 
 
