@@ -185,8 +185,8 @@ def compress_json(c: Column, rates: dict[str, float], default: float = 1.0) -> C
 
 
 def sentence_budget(docs: DataFrame, budget: int, factor: float = 1.4, bonus: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentences by mean self-information, first and last with a bonus, until the budget is spent, in document
-    order (WIN-18)."""
+    """Sentences by their number of words (a hundredth each), first and last with a bonus, until the budget is spent, in
+    document order (WIN-18). No model scores them."""
     from ..functions.chunks import sentences, word_count
     from ..operators.windows import within_budget
 
