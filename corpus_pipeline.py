@@ -18,7 +18,7 @@ from loomline.llm.substring import remove_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found: without text or without a letter."""
+    """Rejects documents in which no language is found: no text, no letter, or mostly words the model does not know."""
     return keep_identified(docs)
 
 
