@@ -120,15 +120,16 @@ def rouge_l(pred: Column, gold: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def rouge_l_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """As rouge_l, for long texts of normalised tokens joined by spaces."""
+def rouge_l_udf(pred: pd.Series, golds: pd.Series) -> pd.Series:
+    """Best rouge_l over the golds, for long texts of normalised tokens joined by spaces; 0 without golds."""
 
     def score(p: str, g: str) -> float:
         a, b = (p or "").split(), (g or "").split()
         same = lcs(a, b)
         return 2.0 * same / (len(a) + len(b)) if same else 0.0
 
-    return pd.Series([score(p, g) for p, g in zip(pred, gold, strict=True)], dtype="float64")
+    best = lambda p, gs: max((score(p, g) for g in (gs if gs is not None else ())), default=0.0)
+    return pd.Series([best(p, gs) for p, gs in zip(pred, golds, strict=True)], dtype="float64")
 
 
 def judge_score(c: Column, mark: str = "[[") -> Column:
@@ -172,7 +173,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "rouge-1": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_n(norm_tokens(p), norm_tokens(x), 1))),
     "rouge-2": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_n(norm_tokens(p), norm_tokens(x), 2))),
     "rouge-l": lambda p, g: F.array_max(F.transform(g, lambda x: rouge_l(norm_tokens(p), norm_tokens(x)))),
-    "rouge-l-long": lambda p, g: rouge_l_udf(normalize_answer(p), normalize_answer(F.get(g, F.lit(0)))),  # of the first gold
+    "rouge-l-long": lambda p, g: rouge_l_udf(normalize_answer(p), F.transform(g, normalize_answer)),
 }
 
 

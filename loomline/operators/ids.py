@@ -22,6 +22,15 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int
     return out.withColumn(name, F.col("__pos_base") + F.col("__pos_row") - F.col("__pos_first") + start).drop("__pos_part", "__pos_row", "__pos_first", "__pos_base")
 
 
+def with_group_position(df: DataFrame, group: str, order: list[str], name: str = "pos", start: int = 0) -> DataFrame:
+    """Position within each group by an explicit order: the global position less that of the group's first row,
+    so a group of any size is dealt over many tasks. Rows of a null group count as one group."""
+    out = with_position(df, [group, *order], "__group_pos")
+    first = out.groupBy(F.col(group).alias("__group")).agg(F.min("__group_pos").alias("__group_first"))
+    met = out.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return met.withColumn(name, F.col("__group_pos") - F.col("__group_first") + start).drop("__group", "__group_pos", "__group_first")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; a temporary one only in local mode, where the session names none."""
     sc = df.sparkSession.sparkContext

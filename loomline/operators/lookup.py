@@ -19,6 +19,38 @@ def first_containing(needles: DataFrame, docs: DataFrame, needle: Column, text:
     return hits.groupBy(needle_id).agg(F.min(doc_order).alias(doc_order))
 
 
+def first_containing_anywhere(needles: DataFrame, docs: DataFrame, needle_id: str, needle: str, doc_id: str, text: str, words: int = 3, block: int = 256, small: int = 100_000) -> DataFrame:
+    """First document of all, by id, whose text contains the needle (JON-03, exact part): rows (needle_id, doc_id).
+
+    Words are what stands between single spaces. The words between a needle's first and last stand whole and in a
+    row in every text that contains it, so its longest run of up to ``words`` of them is its seed, and the join on
+    the runs of the texts loses no match; each candidate is then verified on the whole text. Needles without an
+    inner word meet the texts in blocks of ``block``. Null needles and texts match nothing; the empty needle
+    is in every text. At most ``small`` seeds, of 16 bytes each, are broadcast; beyond that the join shuffles.
+    """
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n)))
+    asked = needles.select(F.col(needle_id).alias("__needle_id"), F.col(needle).alias("__needle")).where("__needle IS NOT NULL")
+    split = F.split("__needle", " ")
+    asked = asked.withColumn("__inner", F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))))
+    texts = docs.select(F.col(doc_id).alias("__doc_id"), F.col(text).alias("__text")).where("__text IS NOT NULL")
+
+    n = F.least(F.size("__inner"), F.lit(words))
+    longest = F.array_max(F.transform(runs(F.col("__inner"), n), lambda r: F.struct(F.length(F.array_join(r, " ")), r.alias("run"))))["run"]
+    seeds = asked.where(F.size("__inner") > 0).select("__needle_id", F.xxhash64(longest).alias("__seed"))
+    seeds = F.broadcast(seeds) if needles.limit(small + 1).count() <= small else seeds
+    cut = F.split("__text", " ")
+    of_text = F.concat(*(F.coalesce(F.transform(runs(cut, F.lit(i)), lambda r: F.xxhash64(r)), F.array().cast("array<bigint>")) for i in range(1, words + 1)))
+    pairs = texts.select("__doc_id", F.explode(F.array_distinct(of_text)).alias("__seed")).join(seeds, "__seed").select("__needle_id", "__doc_id")
+    seeded = pairs.join(asked.select("__needle_id", "__needle"), "__needle_id").join(texts, "__doc_id").where(F.contains("__text", "__needle"))
+
+    short = asked.where(F.size("__inner") == 0).select("__needle_id", "__needle")
+    sets = short.groupBy(F.floor(F.monotonically_increasing_id() / block).alias("__block")).agg(F.collect_list(F.struct("__needle_id", "__needle")).alias("__set"))
+    met = texts.crossJoin(sets.select("__set"))  # texts against blocks of the stated needles
+    held = met.select("__doc_id", F.inline(F.filter("__set", lambda x: F.contains(F.col("__text"), x["__needle"]))))
+    hits = seeded.select("__needle_id", "__doc_id").unionByName(held.select("__needle_id", "__doc_id"))
+    return hits.groupBy(F.col("__needle_id").alias(needle_id)).agg(F.min("__doc_id").alias(doc_id))
+
+
 def back_off(primary: DataFrame, secondary: DataFrame, key: str, value: str, valid) -> DataFrame:
     """The secondary run's value where the primary one is not valid and the secondary is (JON-17)."""
     other = secondary.select(key, F.col(value).alias("__other"))

@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions.fuzzy import pair_udf, token_set_ratio
 from ..hooks import Generator, Retriever
 from ..operators.context import NO_EVIDENCE
-from ..operators.ids import checkpointed
+from ..operators.ids import checkpointed, with_group_position
 from ..operators.retrieval import top_k
 
 
@@ -25,9 +25,8 @@ def build_corpus(pages: DataFrame, evidences: DataFrame, title: str = "title") -
     text = parsed.where("text <> ''").select(title, F.lit("text").alias("kind"), F.lit(0).alias("i"), F.col("text").alias("content"))
     tables = parsed.select(title, F.lit("table").alias("kind"), F.posexplode("tables").alias("i", "t")).select(title, "kind", "i", F.to_json("t").alias("content"))
     info = parsed.where(F.size("info") > 0).select(title, F.lit("infobox").alias("kind"), F.lit(0).alias("i"), F.to_json("info").alias("content"))
-    docs = text.unionByName(tables).unionByName(info)
-    n = F.row_number().over(Window.partitionBy("kind").orderBy(title, "i")) - 1
-    return docs.select(F.format_string("%s_%d", "kind", n).alias("id"), "kind", title, "content")
+    docs = with_group_position(text.unionByName(tables).unionByName(info), "kind", [title, "i"])
+    return docs.select(F.format_string("%s_%d", "kind", "pos").alias("id"), "kind", title, "content")
 
 
 def align_evidence(evidences: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], fuzzy: float = 85.0, near: float = 0.75, prefix: str = "new") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dedupe as D
@@ -55,8 +54,8 @@ def _(spark, d):
 
 @query("set_kind_counters", "SELECT doc_id, lang || '_' || lpad((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id FROM documents")
 def _(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.format_string("%s_%06d", "lang", F.row_number().over(w) - 1).alias("id"))
+    docs = I.with_group_position(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
+    return docs.select("doc_id", F.format_string("%s_%06d", "lang", "pos").alias("id"))
 
 
 @query("set_split_merge", "SELECT doc_id, CASE WHEN lang = 'en' THEN upper(source) ELSE source END AS source FROM documents")

@@ -86,8 +86,10 @@ def _(spark, d):
 
 @query("str_mint_id", "SELECT doc_id, source || '_' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR, 6, '0') AS minted FROM documents")
 def _(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", S.mint_id(F.col("source"), F.row_number().over(w)).alias("minted"))
+    from ..operators.ids import with_group_position
+
+    docs = with_group_position(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"], start=1)
+    return docs.select("doc_id", S.mint_id(F.col("source"), F.col("pos")).alias("minted"))
 
 
 @query("str_flatten_nested", "SELECT event_id, 'type ' || event_type || ' user ' || user_id || ' props k ' || (props->>'k') AS v FROM events")

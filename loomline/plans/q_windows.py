@@ -10,6 +10,7 @@ from ..functions import text as S
 from ..operators import context as X
 from ..operators import windows as W
 from .catalogue import query
+from .q_joins import BM25, bm25
 from .tables import table
 
 COST = "length(text) // 4"
@@ -133,19 +134,18 @@ def _(spark, d):
     return M.report(M.evaluate(answers(spark, d).withColumn("golds", F.array("gold")), ["em", "acc"]), ["em", "acc"])
 
 
-HITS = "(SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text) DESC, d.doc_id) AS rank, contains(d.text, split_part(b.text, ' ', 1)) AS hit FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20))"
+HITS = f"(SELECT item_id, rank, contains(d.text, split_part(b.text, ' ', 1)) AS hit FROM ({BM25}5) x JOIN benchmark b ON b.item_id = x.query_id JOIN documents d ON d.doc_id = x.doc_id)"
 
 
-def item_source():
-    """The source whose documents an item is asked of."""
-    return F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")
+def found(spark, d, k):
+    """The k best documents of each item with their texts."""
+    best = bm25(spark, d, k).select(F.col("query_id").alias("item_id"), "doc_id", "rank")
+    return best.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def hits(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("gold"), item_source())
-    x = table(spark, d, "documents").select("doc_id", "text", "source").join(b, "source")
-    w = Window.partitionBy("item_id").orderBy(F.desc(F.length("text")), "doc_id")
-    return x.select("item_id", F.row_number().over(w).alias("rank"), F.contains("text", "gold").alias("hit"))
+    b = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("gold"))
+    return found(spark, d, 5).join(b, "item_id").select("item_id", "rank", F.contains("text", "gold").alias("hit"))
 
 
 @query("metric_retrieval_recall", f"SELECT round(avg(h::INT), 6) AS recall FROM (SELECT item_id, bool_or(hit) AS h FROM {HITS} WHERE rank <= 5 GROUP BY 1)")
@@ -215,11 +215,9 @@ def _(spark, d):
 # Context
 
 
-@query("prompt_build", "SELECT item_id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || CASE WHEN instr(text, chr(10)) = 0 THEN '' ELSE substr(text, instr(text, chr(10)) + 1) END || chr(10), '' ORDER BY rank) AS v FROM (SELECT b.item_id, d.text, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20)) WHERE rank <= 3 GROUP BY 1")
+@query("prompt_build", f"SELECT item_id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || CASE WHEN instr(text, chr(10)) = 0 THEN '' ELSE substr(text, instr(text, chr(10)) + 1) END || chr(10), '' ORDER BY rank) AS v FROM (SELECT x.query_id AS item_id, d.text, rank FROM ({BM25}3) x JOIN documents d ON d.doc_id = x.doc_id) GROUP BY 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    x = docs.join(table(spark, d, "benchmark").select("item_id", item_source()), "source").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
-    return x.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("docs")).select("item_id", X.reference_text(F.col("docs.text")).alias("v"))
+    return found(spark, d, 3).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("docs")).select("item_id", X.reference_text(F.col("docs.text")).alias("v"))
 
 
 @query("prompt_middle_truncation", r"SELECT doc_id, array_to_string(CASE WHEN len(w) <= 50 THEN w ELSE list_concat(w[1:25], w[-25:]) END, ' ') AS v FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")

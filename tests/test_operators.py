@@ -254,3 +254,35 @@ def test_found_texts_reach_the_next_step_whole(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "start")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in catalogue.queries()["iterative_retrieval"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_first_containing_anywhere_equals_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["a", "bb", "ab", "", "c\n", "é"])
+    docs = [(i, None if i == 3 else " ".join(word() for _ in range(rnd.randrange(0, 12)))) for i in range(80)] + [(7, "ab bb a")]
+    cut = lambda t: t[rnd.randrange(0, len(t) + 1) :][: rnd.randrange(0, 14)]
+    needles = [(i, cut(rnd.choice([t for _, t in docs if t is not None]))) for i in range(150)] + [(150, None), (151, ""), (152, "no such words here"), (0, "a")]
+    want = {}
+    for n, x in needles:
+        found = [i for i, t in docs if x is not None and t is not None and x in t]
+        if found:
+            want[n] = min(want.get(n, 99), *found)
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(needles, "item_id long, needle string")
+    for small in (0, 1000):
+        got = lookup.first_containing_anywhere(q, d, "item_id", "needle", "doc_id", "text", block=7, small=small)
+        assert {r.item_id: r.doc_id for r in got.collect()} == want
+    assert lookup.first_containing_anywhere(q.limit(0), d, "item_id", "needle", "doc_id", "text").count() == 0
+
+
+def test_positions_within_groups_of_any_size(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i) for i in range(300)]
+    got = ids.with_group_position(spark.createDataFrame(rows, "g string, i long"), "g", ["i"], start=1).collect()
+    seen = {}
+    want = {(g, i): seen.setdefault(g, []).append(i) or len(seen[g]) for g, i in rows}
+    assert {(r.g, r.i): r.pos for r in got} == want and len(got) == 300
+
+
+def test_rouge_l_of_long_texts_takes_the_best_gold(spark):
+    rows = [("a cat sat", ["dog", "cat sat", None]), ("cat", []), ("cat", None), (None, ["cat"])]
+    df = spark.createDataFrame(rows, "pred string, golds array<string>")
+    assert [r[0] for r in df.select(metrics.METRICS["rouge-l-long"](F.col("pred"), F.col("golds"))).collect()] == [1.0, 0.0, 0.0, 0.0]
