@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, broadcast_if_small
+from .shared import Workspace, broadcast_if_small, free_name
 
 WORDS = 5
 CONTAINED = 0.75
@@ -95,8 +95,9 @@ def _by_hash():
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """The rows of docs that contain no item; rows with a null id stay."""
     ws = ws or Workspace(docs.sparkSession)
-    go = ws.save(contaminated(docs, items, id_col, text_col, ws=ws).select(F.col("id").alias("__go")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(go, BROADCAST_ROWS), F.col(f"`{id_col}`") == F.col("__go"), "left_anti")
+    out_id = free_name(docs, "__go")
+    go = ws.save(contaminated(docs, items, id_col, text_col, ws=ws).select(F.col("id").alias(out_id)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(go, BROADCAST_ROWS), F.col(f"`{id_col}`") == F.col(out_id), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

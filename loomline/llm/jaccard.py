@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, broadcast_if_small, components
+from .shared import Workspace, broadcast_if_small, components, free_name
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 WORDS = 5
@@ -337,8 +337,9 @@ def _repeated_ids(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
     out = jaccard_components(docs, id_col, text_col, ws=ws)
-    go = out.where("component_id < id").select(F.col("id").alias("__go")).distinct()
-    return docs.join(go, F.col(f"`{id_col}`") == F.col("__go"), "left_anti")
+    out_id = free_name(docs, "__go")
+    go = out.where("component_id < id").select(F.col("id").alias(out_id)).distinct()
+    return docs.join(go, F.col(f"`{id_col}`") == F.col(out_id), "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

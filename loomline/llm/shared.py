@@ -74,6 +74,14 @@ def without(df: DataFrame, *added: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def is_small(df: DataFrame, most: int) -> bool:
     """Whether a table has at most so many rows; reads no more than most + 1 of them."""
     return df.limit(most + 1).count() <= most

@@ -138,8 +138,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ws = ws or Workspace(docs.sparkSession)
     docs = without(docs, "n_words", "n_removed", "kept_text")
-    names = docs.columns
-    base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.hash(F.col(f"`{text_col}`")).alias("__row"))
+    names = [f"in_{i}" for i in range(len(docs.columns))]  # none clashes with the columns made here
+    base = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.hash(F.col(f"`{text_col}`")).alias("__row"))
     seeds = ws.save(
         base.where("__id IS NOT NULL").select("__id", "__row", "__text").mapInArrow(_seeds(window), "__id long, __row int, anchor long"), "seeds"
     )
@@ -160,8 +160,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = ws.save(repeats.groupBy("__id", "__row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeats")
     ws.drop(known, windows)
     out = base.join(repeats, ["__id", "__row"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return out.select(*(F.col(f"`{c}`") for c in names), "__text", "spans").mapInArrow(_cut(window, names), schema)
+    given = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields, strict=True)]
+    schema = T.StructType([*given, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return out.select(*names, "__text", "spans").mapInArrow(_cut(window, names), schema).toDF(*docs.columns, "n_words", "n_removed", "kept_text")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
