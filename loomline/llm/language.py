@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, without
+from .shared import without
 from .text import mix, rolling, signed, slices, starts_within, word_lanes
 
 FIT_ROWS = 8000
@@ -201,11 +201,11 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, ngrams: i
     return Model(langs, tables)
 
 
-def _predict(model: Model, names: list[str], text: str):
+def _predict(model: Model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             langs, score, known = model.predict(b.column(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*names, "lang_pred", "lang_score", "lang_known"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*b.schema.names, "lang_pred", "lang_score", "lang_known"])
 
     return run
 
@@ -217,9 +217,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     characters or more.
     """
     docs = without(docs, "lang_pred", "lang_score", "lang_known")
-    names, text = docs.columns, free_name(docs, "__text")
+    text = [c.lower() for c in docs.columns].index(text_col.lower())  # by place, so that each text is sent once
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_known", T.DoubleType())])
-    return docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias(text)).mapInArrow(_predict(model, names, text), schema)
+    return docs.mapInArrow(_predict(model, text), schema)
 
 
 def held_out(doc_id: Column) -> Column:

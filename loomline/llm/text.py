@@ -12,7 +12,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece hold about ``most`` bytes; one row is never cut."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
