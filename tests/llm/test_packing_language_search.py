@@ -181,3 +181,13 @@ def test_nearest_neighbours_recall_ties_and_unsound_vectors(spark):
     few = neighbours.nearest(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert len(few) == 3
     assert neighbours.nearest(df.where("false"), df.where("false")).count() == 0
+
+
+def test_language_finds_the_text_wherever_it_stands(spark):
+    rows = [(f"{w} one {w} two", i, "in", "aa" if w == "zig" else "bb") for i, w in enumerate(["zig", "zag"] * 20)]
+    df = spark.createDataFrame(rows, "TEXT string, doc_id long, lang_pred string, lang string")
+    out = language.predict(df, language.fit_documents(df))
+    assert out.columns == ["TEXT", "doc_id", "lang", "lang_pred", "lang_score", "lang_known"]
+    assert all(r.lang_pred == r.lang and r.TEXT == rows[r.doc_id][0] for r in out.collect())
+    back = df.select("lang", "doc_id", "TEXT")
+    assert {r.doc_id: r.lang_pred for r in language.predict(back, language.fit_documents(df)).collect()} == {r[1]: r[3] for r in rows}
