@@ -183,6 +183,32 @@ def test_nearest_neighbours_recall_ties_and_unsound_vectors(spark):
     assert neighbours.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_queries_are_not_copied_for_each_block(spark, monkeypatch):
+    """A copy of the queries for each block of rows filled a task's memory at 6 GB."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 16))
+    v[300:320] = v[300]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(600)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    found = []
+    for group in (16 << 20, 5000):  # all queries at once; four groups
+        monkeypatch.setattr(neighbours, "GROUP", group, raising=False)
+        out = neighbours.nearest(df, df.where("vec_id % 10 = 0"))
+        plan = out._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "Join" not in plan
+        found.append([tuple(r) for r in out.orderBy("query_id", "rank").collect()])
+    assert found[0] == found[1] and len(found[0]) == 60 * 10
+    hit = 0
+    for at in range(0, 600, 10):
+        q, d = found[0][at][0], np.sqrt(((v - v[found[0][at][0]]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        got = found[0][at : at + 10]
+        hit += len({x for _, _, x, _ in got} & set(np.lexsort((np.arange(600), d))[:10].tolist()))
+        assert [r for _, r, _, _ in got] == list(range(1, 11)) and all(math.isclose(s, d[x], rel_tol=1e-12) for _, _, x, s in got)
+    assert hit >= 540
+    assert [x for q, _, x, _ in found[0] if q == 300] == list(range(301, 311))
+
+
 def test_language_finds_the_text_wherever_it_stands(spark):
     rows = [(f"{w} one {w} two", i, "in", "aa" if w == "zig" else "bb") for i, w in enumerate(["zig", "zag"] * 20)]
     df = spark.createDataFrame(rows, "TEXT string, doc_id long, lang_pred string, lang string")
