@@ -20,9 +20,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,16 @@ SHARD = 1024  # rests in one inverted index
 TASK_TOKENS = 4 << 20
 K1, B = 1.2, 0.75
 BLOCK = 4096
+TEXT_BYTES = 8 << 20  # of texts whose words are looked up together
 
 #: Fixed value: the pattern by which the byte-level vocabulary splits text before its merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: A white space that the vocabulary holds as an id of its own; texts that hold it are encoded whole.
+MARK = "\x0b"
+#: Texts of which not every space stands between two words, or whose ends are white space.
+APART = r"^(?:[\t-\r\x{85}\p{Z}]|$)|[\t-\r\x{85}\p{Z}]$| [\t-\r\x{85}\p{Z}]|[\t-\r\x{85}\p{Z}] |\x0b"
+
 
 def _letters() -> dict[str, int]:
     """The printable stand-ins for bytes in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on."""
@@ -51,7 +59,7 @@ class Encoder:
     """Ids of whole texts under a byte-level vocabulary file.
 
     The vocabulary is read by ``tokenizers``; the merges run in ``tiktoken``, which gives the same ids (see
-    the tests) in a sixth of the time. The file's added tokens are plain text, or with ``added_tokens`` ids of
+    the tests) in a sixth of the time, and ``all_ids`` runs them once for a word that recurs. The file's added tokens are plain text, or with ``added_tokens`` ids of
     their own, as the library reads them unless told otherwise: texts that hold one are left to it.
     """
 
@@ -62,28 +70,84 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary, letters = self.tokenizer.get_vocab(with_added_tokens=False), _letters()
         added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
-        self.added = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
+        self.added_texts = [t.content for t in added.values()]
+        self.added = re.compile("|".join(map(re.escape, self.added_texts))) if added else None
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if all(c in letters for c in t)}
         ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
         self.size = max([*vocabulary.values(), *added]) + 1
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.mark = ranks[MARK.encode()]
 
     def ids(self, text: str | None) -> np.ndarray:
         if self.added and text and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.encoding.encode_ordinary(text or ""), "<u4")
 
+    def all_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as ``ids`` gives them; a word that recurs is encoded once.
+
+        The pattern begins a new part at a single space between two other characters, whatever stands before
+        it, and its look-aheads see white space only; so such texts are encoded as their first word and, each
+        with its space, the others. The distinct ones are encoded in one go between marks, and the ids of a
+        text are read off by place. Texts with other spaces or added tokens, and all if few words recur, are
+        encoded whole.
+        """
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, APART)
+        for token in self.added_texts:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        split = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
+        ends, words = np.asarray(split.offsets), split.flatten()
+        coded = words.dictionary_encode()
+        firsts, distinct = words.take(pa.array(ends[:-1])), coded.dictionary
+        if 2 * len(distinct) >= len(words):
+            yield from (self.ids(t.as_py()) for t in texts)
+            return
+        marked = f"{MARK} {_joined(distinct, f'{MARK} ')}{MARK}{_joined(firsts, MARK)}{MARK}"
+        found = np.array(self.encoding.encode_ordinary(marked), "<u4")
+        marks = np.flatnonzero(found == self.mark)
+        at = np.array(coded.indices)
+        at[ends[:-1]] = len(distinct) + np.arange(len(firsts))
+        starts, many = (marks[:-1] + 1)[at], np.diff(marks)[at] - 1
+        past = np.append(0, np.cumsum(many))
+        i = 0
+        for t, alone in zip(texts, whole.to_pylist(), strict=True):
+            if alone:
+                yield self.ids(t.as_py())
+                continue
+            lo, hi = ends[i], ends[i + 1]
+            yield found[np.repeat(starts[lo:hi] - past[lo:hi], many[lo:hi]) + np.arange(past[lo], past[hi])]
+            i += 1
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, added_tokens: bool) -> Encoder:
+    """One for all tasks of a process."""
+    return Encoder(path, added_tokens)
+
+
+def _joined(words: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), by)[0].as_py()
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about TEXT_BYTES."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    part = (np.cumsum(size) - size) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    yield from zip(cuts[:-1], cuts[1:], strict=True) if len(size) else ()
+
 
 def _tokenize(path: str, window: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, added_tokens)
+        encode = encoder(path, added_tokens)
         small = np.uint16 if encode.size <= 1 << 16 else np.uint32
         documents = np.zeros(-(-encode.size // BLOCK) * BLOCK, np.int64)  # in whose rest each id stands
         for b in batches:
-            for at in range(0, b.num_rows, 256):
+            for lo, hi in _slices(b.column(1)):
                 out: list[tuple] = []
-                for doc, text in zip(b.column(0)[at : at + 256].to_pylist(), b.column(1)[at : at + 256], strict=True):
-                    ids = np.append(encode.ids(text.as_py()), np.uint32(END_ID))
+                for doc, ids in zip(b.column(0)[lo:hi].to_pylist(), encode.all_ids(b.column(1)[lo:hi]), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID))
                     n = len(ids)
                     out += [(doc, s, window, zlib.crc32(ids[s : s + window]), n, None) for s in range(0, n - window + 1, window)]
                     if n % window:
@@ -108,8 +172,8 @@ _WRITTEN = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "l
 def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their counts."""
     s = np.sort(ids, kind="stable")
-    first = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
-    return s[first], np.diff(first, append=len(s))
+    bounds = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]))
+    return s[bounds[:-1]], bounds[1:] - bounds[:-1]
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +234,7 @@ class _Packer:
         starts = np.append(np.flatnonzero(np.append(True, terms[1:] != terms[:-1])), len(terms))
         at_term = np.zeros(len(self.idf), np.int32)  # where each term's postings are
         at_term[terms[starts[:-1]]] = np.arange(len(starts) - 1)
-        unused, first = np.ones(n, bool), 0
+        unused, first, indexed = np.ones(n, bool), 0, n
         begin = None  # (rest, where it was cut)
         while True:
             if begin is None:
@@ -188,6 +252,9 @@ class _Packer:
                 continue
             if not self.filled:
                 continue
+            if 4 * (left := np.count_nonzero(unused)) < 3 * indexed:  # the index lets go of used rests
+                keep, indexed = unused[docs], left
+                docs, weights, starts = docs[keep], weights[keep], np.append(0, np.cumsum(keep))[starts]
             ranges = at_term[found[seed][0]]
             lo, many = starts[ranges], starts[ranges + 1] - starts[ranges]
             past = np.cumsum(many)
@@ -236,7 +303,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``added_tokens``: the added tokens of the tokenizer file are read as such where a text holds them.
     """
     ws = ws or Workspace(docs.sparkSession)
-    size = Encoder(tokenizer_path, added_tokens).size
+    size = encoder(tokenizer_path, added_tokens).size
     small = "<u2" if size <= 1 << 16 else "<u4"
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     written = ws.save(base.mapInArrow(_tokenize(tokenizer_path, window, added_tokens), ", ".join(f"{c} {t}" for c, t in _WRITTEN.items())), "pieces")

@@ -4,7 +4,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -33,6 +35,30 @@ def test_added_tokens_equal_those_of_the_tokenizers_library():
     assert encode.ids("<|endoftext|> x").tolist() == [50256, 2124] and encode.size == 50257
 
 
+def test_ids_of_many_texts_equal_those_of_the_tokenizers_library():
+    path = packing.byte_bpe_path()
+    encode, tokenizer = packing.Encoder(path, added_tokens=True), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    words = ["a", "don't", "'s", "x.\ny", "z,", "é日", "12", "\u3000q", "r\n", "\x0b", "s\tt", "\x85", "\x1c", "²½", "🙂", "", "<|endoftext|>", "-'re", "\u2028", "n\x00"]
+    safe = [w for w in words if w and w == w.strip() and not w.startswith("<")]
+    texts = [*ODD, *(" ".join(rng.choices(safe if i % 2 else words, k=rng.randrange(12))) for i in range(1500))]
+    for part in (pa.array(texts), pa.array(texts).slice(5, 900), pa.array(texts[:3]), pa.array(["one word", None, "each once"])):
+        got = list(encode.all_ids(part))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
+def test_a_word_that_recurs_is_encoded_once(monkeypatch):
+    encode, encoded, plain = packing.Encoder(packing.byte_bpe_path()), [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: encoded.append(len(text)) or plain(self, text))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta,", "gamma.\nDelta", "x"], k=200)) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(packing._tokenize(packing.byte_bpe_path(), 64, True)([batch])).to_pylist()
+    assert sum(r["length"] for r in out if r["block"] is None) == sum(len(encode.ids(t)) + 1 for t in texts)
+    assert sum(encoded) - sum(map(len, texts)) < sum(map(len, texts)) / 10  # the line above encodes them whole
+    assert not [*packing._tokenize(packing.byte_bpe_path(), 64, True)([batch.slice(0, 0)])][0].num_rows
+
+
 def test_op1_and_pipeline_read_added_tokens(spark, tmp_path):
     rows = [(1, "plain words"), (2, "<|endoftext|> x"), (3, "a<|endoftext|>b <|endoftext|>")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -100,6 +126,18 @@ def test_every_term_of_a_seed_counts():
     assert [doc for doc, *_, sequence, _ in p.out if sequence == 0] == [0, 3]
 
 
+def test_a_seed_meets_no_rests_used_long_ago(monkeypatch):
+    met, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda docs, *rest: met.append(len(docs)) or plain(docs, *rest))
+    p = packing._Packer(30, np.ones(100, np.float32), 10.0, "<u2")
+    p.shard([(i, 0, 7) for i in range(200)], [np.r_[0:6, 10 + i % 7].astype("<u2") for i in range(200)])
+    assert met[0] > 1200 and met[-1] < 100 and sum(met) < 0.7 * len(met) * met[0]
+    placed = defaultdict(int)
+    for doc, _, length, *_ in p.out:
+        placed[doc] += length
+    assert placed == dict.fromkeys(range(200), 7)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.byte_bpe_path()).count() == 0
 
