@@ -52,6 +52,17 @@ def test_url_rules_hosts_and_paths(spark):
     assert {(r.url, r.url_host, r.url_path, r.url_rule, r.url_verdict) for r in out} == set(rows)
 
 
+def test_url_query_takes_each_verdict_from_the_contract(spark, tmp_path):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = dict(reversed(r.split()) for r in contract.split(", "))
+    assert {h + p: v for v, h, p in urls.RULES} == want
+    rows = [(1, "http://m.example.net/de/132#top", "<p>"), (2, "http://m.example.net/de/83", "<p>"), (3, "http://a.org/es/1", "<p>"), (4, "http://a.com/en/7", "<p>"), (5, "http://example.com/en/7", "<p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.op7_url_filter(spark, str(tmp_path)).collect()}
+    rules = {1: "net/de/", 2: "example.net/de/8", 3: "org/es/", 4: "com/en/", 5: "example.com/en/7"}
+    assert got == {i: (r, want[r]) for i, r in rules.items()}
+
+
 def test_url_verdicts_spread_over_aliases_and_explicit_allow_wins(spark):
     e = [("http://m.xx/1", "http://m.xx/2"), ("http://m.xx/2", "http://a.com/en/1"), ("http://n.xx/1", "http://example.com/en/7"), ("http://n.xx/1", "http://b.com/en/2"), ("http://m.xx/1", "http://m.xx/1"), (None, "http://m.xx/1")]
     names = sorted({u for p in e for u in p if u} | {"http://free.xx/"})
