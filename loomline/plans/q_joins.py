@@ -40,10 +40,10 @@ def vector_sql(score: str, k: int, where: str = "a.vec_id <> b.vec_id") -> str:
     return f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {score} AS score FROM embeddings a, embeddings b WHERE {where})) WHERE rank <= {k}"
 
 
-def dense(spark, d, k, metric):
+def dense(spark, d, k, metric, same=None):
     e = table(spark, d, "embeddings")
-    asked = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.dense_top_k(e, asked, k, metric=metric, exclude_self=True)
+    asked = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return R.dense_top_k(e, asked, k, metric=metric, exclude_self=True, same=same)
 
 
 @query("vector_ip_top5", vector_sql(IP, 5))
@@ -74,11 +74,7 @@ def _(spark, d):
 
 @query("nn_blocked_by_label", f"SELECT query_id, doc_id, score, rank FROM ({vector_sql(IP, 1, 'a.vec_id <> b.vec_id AND a.label = b.label')}) WHERE score >= 0.2")
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    b = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x"), "label")
-    scored = a.join(b, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.round(R.dot(F.col("q"), F.col("x")), 4).alias("score"))
-    return R.top_k(scored, 1).where("score >= 0.2")
+    return dense(spark, d, 1, "ip", same="label").where("score >= 0.2")
 
 
 @query("knn_vote", f"WITH lab AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE -1 END AS s FROM embeddings), t AS (SELECT sum(s) AS total, count(*) AS n FROM lab), v AS (SELECT query_id, sum(s) AS d FROM ({vector_sql(IP, 9)}) JOIN lab ON id = doc_id GROUP BY 1) SELECT query_id, d::BIGINT AS d, CASE WHEN total < 0 THEN NOT (d < 0 AND d <= trunc(total * 9.0 / n)) ELSE d > 0 AND d >= trunc(total * 9.0 / n) END AS retrieve FROM v, t")

@@ -286,3 +286,29 @@ def test_rouge_l_of_long_texts_takes_the_best_gold(spark):
     rows = [("a cat sat", ["dog", "cat sat", None]), ("cat", []), ("cat", None), (None, ["cat"])]
     df = spark.createDataFrame(rows, "pred string, golds array<string>")
     assert [r[0] for r in df.select(metrics.METRICS["rouge-l-long"](F.col("pred"), F.col("golds"))).collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_dense_top_k_equals_brute_force(spark, metric, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(130, 6)), 2).astype("float32" if kind == "float" else "float64")
+    v[40:70] = v[7]  # equals: ties go to the smaller id
+    ids, of = rng.permutation(1000)[:130], rng.choice([3, 5], 130)
+    rows = [(int(i), [float(x) for x in r], int(o)) for i, r, o in zip(ids, v, of, strict=True)]
+    df = spark.createDataFrame([*rows, (2000, None, 3), (2001, [0.5] * 6, None)], f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+    asked = df.select(df.vec_id.alias("query_id"), "embedding", "label")
+    w = v.astype("float64")
+    score = {"ip": w @ w.T, "cosine": (w @ w.T) / np.sqrt(np.outer((w**2).sum(1), (w**2).sum(1))), "l2": -np.sqrt(((w[:, None] - w[None]) ** 2).sum(2))}[metric]
+    for same in ("label", None):
+        at_most = {"at_most": 1} if same else {"at_most": 4}
+        out = retrieval.dense_top_k(df if same else df.where("label IS NOT NULL"), asked if same else asked.where("label IS NOT NULL"), 4, metric=metric, block=16, exclude_self=True, same=same, **at_most)
+        got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 4)) for r in out.collect()}
+        for q in range(130):
+            others = sorted((-round(score[q, x] + 0.0, 4), ids[x]) for x in range(130) if x != q and (same is None or of[x] == of[q]))[:4]
+            assert [got[ids[q], n + 1][1] for n in range(4)] == pytest.approx([-s for s, _ in others], abs=1.1e-4)
+            if 40 <= q < 70 and metric != "ip":
+                assert [got[ids[q], n + 1][0] for n in range(4)] == [i for _, i in others]
+        assert len(got) == 4 * 130
