@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .ids import checkpointed
+
 
 def lookup_last(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Left join on the last right row of each key, as a dictionary would keep it (JON-01)."""
@@ -26,22 +29,25 @@ def first_containing_anywhere(needles: DataFrame, docs: DataFrame, needle_id: st
     row in every text that contains it, so its longest run of up to ``words`` of them is its seed, and the join on
     the runs of the texts loses no match; each candidate is then verified on the whole text. Needles without an
     inner word meet the texts in blocks of ``block``. Null needles and texts match nothing; the empty needle
-    is in every text. At most ``small`` seeds, of 16 bytes each, are broadcast; beyond that the join shuffles.
+    is in every text. Each text is split once. At most ``small`` seeds, of 16 bytes each, and a tenth as many candidates
+    with their needles are broadcast; beyond that the joins shuffle.
     """
     runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n)))
     asked = needles.select(F.col(needle_id).alias("__needle_id"), F.col(needle).alias("__needle")).where("__needle IS NOT NULL")
-    split = F.split("__needle", " ")
-    asked = asked.withColumn("__inner", F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))))
+    asked = asked.withColumn("__inner", let(lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))), F.split("__needle", " ")))
     texts = docs.select(F.col(doc_id).alias("__doc_id"), F.col(text).alias("__text")).where("__text IS NOT NULL")
 
-    n = F.least(F.size("__inner"), F.lit(words))
-    longest = F.array_max(F.transform(runs(F.col("__inner"), n), lambda r: F.struct(F.length(F.array_join(r, " ")), r.alias("run"))))["run"]
-    seeds = asked.where(F.size("__inner") > 0).select("__needle_id", F.xxhash64(longest).alias("__seed"))
+    longest = lambda w, n: F.array_max(F.transform(runs(w, n), lambda r: F.struct(F.length(F.array_join(r, " ")), r.alias("run"))))["run"]
+    seeds = asked.where(F.size("__inner") > 0).withColumn("__n", F.least(F.size("__inner"), F.lit(words)))
+    lengths = sorted(r[0] for r in seeds.select("__n").distinct().collect())  # numbers up to ``words``
+    seeds = seeds.select("__needle_id", F.xxhash64(let(longest, F.col("__inner"), F.col("__n"))).alias("__seed"))
     seeds = F.broadcast(seeds) if needles.limit(small + 1).count() <= small else seeds
-    cut = F.split("__text", " ")
-    of_text = F.concat(*(F.coalesce(F.transform(runs(cut, F.lit(i)), lambda r: F.xxhash64(r)), F.array().cast("array<bigint>")) for i in range(1, words + 1)))
-    pairs = texts.select("__doc_id", F.explode(F.array_distinct(of_text)).alias("__seed")).join(seeds, "__seed").select("__needle_id", "__doc_id")
-    seeded = pairs.join(asked.select("__needle_id", "__needle"), "__needle_id").join(texts, "__doc_id").where(F.contains("__text", "__needle"))
+    none = F.array().cast("array<bigint>")
+    of_text = let(lambda w: F.array_distinct(F.concat(none, *(F.coalesce(F.transform(runs(w, F.lit(i)), lambda r: F.xxhash64(r)), none) for i in lengths))), F.split("__text", " "))
+    pairs = texts.select("__doc_id", F.explode(of_text).alias("__seed")).join(seeds, "__seed").select("__needle_id", "__doc_id")
+    pairs = checkpointed(pairs.join(asked.select("__needle_id", "__needle"), "__needle_id"))
+    pairs = F.broadcast(pairs) if pairs.limit(small // 10 + 1).count() <= small // 10 else pairs
+    seeded = texts.join(pairs, "__doc_id").where(F.contains("__text", "__needle"))
 
     short = asked.where(F.size("__inner") == 0).select("__needle_id", "__needle")
     sets = short.groupBy(F.floor(F.monotonically_increasing_id() / block).alias("__block")).agg(F.collect_list(F.struct("__needle_id", "__needle")).alias("__set"))

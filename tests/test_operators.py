@@ -312,3 +312,14 @@ def test_dense_top_k_equals_brute_force(spark, metric, kind):
             if 40 <= q < 70 and metric != "ip":
                 assert [got[ids[q], n + 1][0] for n in range(4)] == [i for _, i in others]
         assert len(got) == 4 * 130
+
+
+def test_containment_splits_a_long_text_once(spark):
+    import time
+
+    words = [f"w{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (0, "short text"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[39_000:39_009])), (2, "w1 w3 w2 w4 w5"), (3, None)], "item_id long, needle string")
+    began = time.monotonic()
+    assert [tuple(r) for r in lookup.first_containing_anywhere(items, docs, "item_id", "needle", "doc_id", "text").collect()] == [(1, 1)]
+    assert time.monotonic() - began < 60  # minutes where each run of words splits the text again
