@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,3 +324,17 @@ def test_containment_splits_a_long_text_once(spark):
     began = time.monotonic()
     assert [tuple(r) for r in lookup.first_containing_anywhere(items, docs, "item_id", "needle", "doc_id", "text").collect()] == [(1, 1)]
     assert time.monotonic() - began < 60  # minutes where each run of words splits the text again
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_jaccard_pairs_equal_brute_force_whatever_the_chunks(spark, least):
+    rng = random.Random(3)
+    base = [[f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.choice([1, 3, 12, 40]))] for _ in range(12)]
+    texts = [" ".join(w if rng.random() < 0.8 else f"w{rng.randrange(60)}" for w in rng.choice(base)) for _ in range(150)] + ["", " ", "a\nb", "b  a"]
+    rows = [(i, t, rng.choice(["s", "t"]), "en") for i, t in enumerate(texts)] + [(900, None, "s", "en"), (901, texts[0], None, "en")]
+    sets = {i: (set(re.split(r"[ \t\n\x0b\f\r]+", t)), s) for i, t, s, _ in rows if t is not None and s}
+    want = {(a, b): len(x & y) / len(x | y) for a, (x, s) in sets.items() for b, (y, r) in sets.items() if a < b and s == r and len(x & y) >= least * len(x | y)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    for size, often in ((1000, 1000), (20, 5), (7, 0)):
+        got = retrieval.jaccard_pairs(docs, ["source", "lang"], least, chunk=size, often=often).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.j for r in got} == pytest.approx(want)
