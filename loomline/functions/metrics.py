@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,17 +37,21 @@ def overlap(a: Column, b: Column) -> Column:
     return let(lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, w: acc + F.least(count(x, w), count(y, w))), a, b)
 
 
-def token_scores(pred: Column, gold: Column) -> Column:
-    """Struct (f1, precision, recall) of normalised tokens; yes/no/noanswer must be equal to score (MET-03)."""
-    special = F.array(*(F.lit(x) for x in ("yes", "no", "noanswer")))
+def token_scores(pred: Column, gold: Column, special: Sequence[str] = ("yes", "no", "noanswer"), empty: bool = False) -> Column:
+    """Struct (f1, precision, recall) of normalised tokens; answers in ``special`` must be equal to score (MET-03).
+
+    With ``empty`` a text without tokens counts as one empty token, so two of them agree, and a null scores 0.
+    """
+    known = F.array(*(F.lit(x) for x in special)).cast("array<string>")
 
     def scores(same: Column, p: Column, g: Column, np_: Column, ng: Column) -> Column:
-        none = ((F.array_contains(special, np_) | F.array_contains(special, ng)) & (np_ != ng)) | (same == 0)
+        none = ((F.array_contains(known, np_) | F.array_contains(known, ng)) & (np_ != ng)) | (same == 0)
         precision, recall = same / F.nullif(F.size(p), F.lit(0)), same / F.nullif(F.size(g), F.lit(0))
         f1 = 2 * same / F.nullif(F.size(p) + F.size(g), F.lit(0))
-        return F.struct(*(F.when(none, F.lit(0.0)).otherwise(v).alias(k) for k, v in (("f1", f1), ("precision", precision), ("recall", recall))))
+        value = lambda v: F.coalesce(v, F.lit(0.0)) if empty else v
+        return F.struct(*(F.when(none, F.lit(0.0)).otherwise(value(v)).alias(k) for k, v in (("f1", f1), ("precision", precision), ("recall", recall))))
 
-    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    split = lambda c: F.split(c, " ") if empty else F.filter(F.split(c, " "), lambda w: w != "")
     texts = lambda np_, ng: let(lambda p, g: let(lambda same: scores(same, p, g, np_, ng), overlap(p, g).cast("double")), split(np_), split(ng))
     return let(texts, normalize_answer(pred), normalize_answer(gold))
 

@@ -338,3 +338,18 @@ def test_jaccard_pairs_equal_brute_force_whatever_the_chunks(spark, least):
     for size, often in ((1000, 1000), (20, 5), (7, 0)):
         got = retrieval.jaccard_pairs(docs, ["source", "lang"], least, chunk=size, often=often).collect()
         assert len(got) == len(want) and {(r.a, r.b): r.j for r in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["metric_token_f1", "metric_qa_modes", "str_self_rag_clean"])
+def test_queries_of_odd_turns_equal_sql(spark, tmp_path, name):
+    import duckdb
+
+    odd = ["", None, "The.", "...", "no", "No, thanks", "yes", "a.b.c d", "x!y?z", "a.[Relevant]b", "end</s>", "# x.y", "I.B.M. and U.S.A.F", "an the a", " : tail\nmore.dots"]
+    rng = random.Random(1)
+    rows = [(c, t, "user", rng.choice(odd)) for c in range(80) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
