@@ -223,12 +223,18 @@ def last_assert(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.split(c, "\n"), lambda x: F.startswith(x, F.lit("assert"))), F.lit(-1)), F.lit(""))
 
 
-def clean_generation(c: Column, control: Sequence[str]) -> Column:
-    """Without control tokens and line breaks, a leading # or :, and with a space after inner stops (STR-30)."""
-    for token in (*control, "</s>", "\n", "<|endoftext|>"):
+def clean_generation(c: Column, control: Sequence[str], ends: Sequence[str] = ("</s>", "<|endoftext|>"), apart: bool = False) -> Column:
+    """Without control tokens and line breaks, a leading # or :, and with a space after inner stops (STR-30).
+
+    With ``apart`` stops are those of the text as it came, line breaks apart, and a character belongs to one of them
+    only: of ``a.b.c`` the first alone gets a space.
+    """
+    c = F.replace(c, F.lit("\n"), F.lit(""))
+    c = F.regexp_replace(c, r"([\p{L}\p{N}_][.!?])([\p{L}\p{N}_])", "$1 $2") if apart else c
+    for token in (*control, *ends):
         c = F.replace(c, F.lit(token), F.lit(""))
-    c = F.regexp_replace(F.trim(c), r"^[#:]", "")
-    return F.regexp_replace(c, r"(?U)(?<=\w)([.!?])(?=\w)", "$1 ")
+    c = F.regexp_replace(F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", ""), r"^[#:]", "")
+    return c if apart else F.regexp_replace(c, r"(?U)(?<=\w)([.!?])(?=\w)", "$1 ")
 
 
 def is_numeric_question(question: Column, answer: Column) -> Column:
