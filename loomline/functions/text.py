@@ -253,7 +253,7 @@ def first_truthy(*cols: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_prefix(family: str) -> tuple[str, str]:

@@ -28,21 +28,27 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.9) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.9, small: int = 20_000) -> DataFrame:
     """Top k documents of each query by BM25 (RET-01).
 
-    Each document's words are counted before the shuffle, and only terms that some query holds are joined;
-    corpus statistics come from all documents.
+    Only words that some query holds are shuffled, once, by document: its scores are summed and the best of each task
+    chosen where its words are. Corpus statistics come from all documents. The words of at most ``small`` queries are
+    broadcast; beyond that the joins shuffle.
     """
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    stats = words.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term")  # stats: one row
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(""))).distinct()
+    few = F.broadcast if queries.limit(small + 1).count() <= small else lambda side: side
+    marked = F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("")))  # one empty term a document, for the statistics
+    said = words.select("doc_id", F.size("w").alias("dl"), F.explode(marked).alias("term")).join(few(wanted), "term", "left_semi")
+    tf = said.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("dl"))
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    stats = df.agg(of_all("df").cast("double").alias("n_docs"), of_all("dl").alias("avgdl"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weights = asked.join(df.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("term", "query_id", "avgdl", idf.alias("idf"))  # stats: one row
+    hits = tf.join(few(weights), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
     return top_k(scored, k)
 

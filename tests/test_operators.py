@@ -353,3 +353,30 @@ def test_queries_of_odd_turns_equal_sql(spark, tmp_path, name):
     duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_bm25_sums_scores_where_a_document_is_and_counts_all_documents(spark, small):
+    import math
+
+    texts = {1: "red fox red", 2: "the fox", 3: None, 4: "", 5: "blue whale, BLUE sea", 6: "a sea of red"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    q = spark.createDataFrame([(1, "red fox fox"), (2, "sea"), (3, None), (4, "nothing")], "query_id long, query string")
+    out = retrieval.bm25(docs, q, 2, small=small)
+    assert not small or not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", out._jdf.queryExecution().executedPlan().toString())
+    words = {i: re.findall(r"\w+", t.lower()) for i, t in texts.items() if t is not None}
+    mean = sum(map(len, words.values())) / len(words)
+
+    def score(i, query):
+        found = 0.0
+        for w in query:
+            df, tf = sum(w in x for x in words.values()), words[i].count(w)
+            found += math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.1 + 0.9 * len(words[i]) / mean)) if tf else 0.0
+        return round(found, 4)
+
+    want = {}
+    for n, query in ((1, {"red", "fox"}), (2, {"sea"})):
+        best = sorted((-score(i, query), i) for i in words if score(i, query))[:2]
+        want |= {(n, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1.1e-4 for k in want)
