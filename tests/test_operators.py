@@ -380,3 +380,18 @@ def test_bm25_sums_scores_where_a_document_is_and_counts_all_documents(spark, sm
         want |= {(n, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
     got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1.1e-4 for k in want)
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_containment_within_the_same_title(spark, small):
+    rng = random.Random(4)
+    docs = [(i, rng.choice("st"), " ".join(rng.choice("ab cd e fg".split()) for _ in range(rng.randrange(12)))) for i in range(60)] + [(90, None, "ab cd"), (91, "s", None)]
+    needles = [(i, rng.choice("stu"), " ".join(rng.choice("ab cd e fg".split()) for _ in range(rng.randrange(6)))) for i in range(40)] + [(90, None, "ab"), (91, "s", None)]
+    want = {}
+    for n, t, needle in needles:
+        held = [d for d, u, text in docs if t and t == u and needle is not None and text is not None and needle in text]
+        want |= {n: min(held)} if held else {}
+    a = spark.createDataFrame(needles, "ev_id long, title string, content string")
+    d = spark.createDataFrame(docs, "doc_id long, t string, text string")
+    got = lookup.first_containing_anywhere(a, d, "ev_id", "content", "doc_id", "text", small=small, same=("title", "t")).collect()
+    assert {r.ev_id: r.doc_id for r in got} == want and len(got) == len(want)
