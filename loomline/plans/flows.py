@@ -168,9 +168,9 @@ def self_information(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def prune_tokens(scored: DataFrame, keep: float) -> DataFrame:
     """Tokens at or above the (1 - keep) percentile of their document's scores, in order (CTX-08, AGG-18)."""
-    cut = scored.groupBy("id").agg(F.percentile("score", 1 - keep).alias("cut"))
-    kept = scored.join(cut, "id").where("score >= cut")
-    return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("text"))
+    each = scored.groupBy("id").agg(F.percentile("score", 1 - keep).alias("cut"), F.array_sort(F.collect_list(F.struct("pos", "token", "score"))).alias("all"))
+    kept = F.filter("all", lambda x: x["score"] >= F.col("cut"))
+    return each.select("id", F.array_join(F.transform(kept, lambda x: x["token"]), " ").alias("text"))
 
 
 def compress_json(c: Column, rates: dict[str, float], default: float = 1.0) -> Column:

@@ -395,3 +395,10 @@ def test_containment_within_the_same_title(spark, small):
     d = spark.createDataFrame(docs, "doc_id long, t string, text string")
     got = lookup.first_containing_anywhere(a, d, "ev_id", "content", "doc_id", "text", small=small, same=("title", "t")).collect()
     assert {r.ev_id: r.doc_id for r in got} == want and len(got) == len(want)
+
+
+def test_pruning_groups_the_scores_once(spark):
+    scored = spark.createDataFrame([(1, p, t, x) for p, t, x in ((2, "c", 3.0), (0, "a", 1.0), (1, "b", 2.0), (3, "a", 1.0))] + [(2, 0, "z", 0.0)], "id long, pos int, token string, score double")
+    out = flows.prune_tokens(scored, 0.5)
+    assert {r.id: r.text for r in out.collect()} == {1: "b c", 2: "z"}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
